@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pcframe.llm import compression_bands, sum_of_squares, zstd_classifier
+from pcframe.llm import compression_bands, scaled_sketch, sum_of_squares, super_minhash, zstd_classifier
 from pcframe.llm.common import table
 
 
@@ -17,10 +17,18 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scaled_sketch.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op4_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sum_of_squares.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return super_minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4)
+
+
 def op8_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_bands.quality(table(spark, sf_dir, "documents"))
 
@@ -33,6 +41,6 @@ def op10_zstd_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_sum_of_squares_packing, op8_compression_bands, op10_zstd_classifier)
+    f.__name__: f for f in (op1_scaled_sketch, op4_sum_of_squares_packing, op7_super_minhash, op8_compression_bands, op10_zstd_classifier)
 }
 ORACLE: dict[str, str] = {}
