@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pcframe.llm import compression_bands, scaled_sketch, sum_of_squares, super_minhash, zstd_classifier
+from pcframe.llm import compression_bands, countmin_substrings, scaled_sketch, sum_of_squares, super_minhash, zstd_classifier
 from pcframe.llm.common import table
 
 
@@ -25,6 +25,11 @@ def op4_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sum_of_squares.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_countmin_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = countmin_substrings.dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op7_super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return super_minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4)
 
@@ -41,6 +46,6 @@ def op10_zstd_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_scaled_sketch, op4_sum_of_squares_packing, op7_super_minhash, op8_compression_bands, op10_zstd_classifier)
+    f.__name__: f for f in (op1_scaled_sketch, op4_sum_of_squares_packing, op5_countmin_substrings, op7_super_minhash, op8_compression_bands, op10_zstd_classifier)
 }
 ORACLE: dict[str, str] = {}
