@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pcframe.llm import compression_bands, countmin_substrings, scaled_sketch, sum_of_squares, super_minhash, zstd_classifier
+from pcframe.llm import capture_index, compression_bands, countmin_substrings, scaled_sketch, sum_of_squares, super_minhash, zstd_classifier
 from pcframe.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op1_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scaled_sketch.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op2_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capture_index.round_trip(table(spark, sf_dir, "pages")).drop("html")
+
+
 def op4_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sum_of_squares.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -46,6 +50,14 @@ def op10_zstd_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_scaled_sketch, op4_sum_of_squares_packing, op5_countmin_substrings, op7_super_minhash, op8_compression_bands, op10_zstd_classifier)
+    f.__name__: f for f in (op1_scaled_sketch, op2_capture_index, op4_sum_of_squares_packing, op5_countmin_substrings, op7_super_minhash, op8_compression_bands, op10_zstd_classifier)
+}
+ORACLE: dict[str, str] = {
+    "op2_capture_index": """
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to
+        FROM f""",
 }
-ORACLE: dict[str, str] = {}
