@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pcframe.llm import capture_index, compression_bands, countmin_substrings, scaled_sketch, sum_of_squares, super_minhash, zstd_classifier
+from pcframe.llm import capture_index, compression_bands, countmin_substrings, scaled_sketch, segment_lines, separator_scan, sum_of_squares, super_minhash, temperature_mixing, zstd_classifier
 from pcframe.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op2_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capture_index.round_trip(table(spark, sf_dir, "pages")).drop("html")
 
 
+def op3_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return temperature_mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op4_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sum_of_squares.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -34,6 +38,10 @@ def op5_countmin_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op6_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return separator_scan.token_counts(table(spark, sf_dir, "documents"), tokenizer_path()).select("doc_id", "n_tokens")
+
+
 def op7_super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return super_minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4)
 
@@ -42,6 +50,11 @@ def op8_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_bands.quality(table(spark, sf_dir, "documents"))
 
 
+def op9_segment_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = segment_lines.dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op10_zstd_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
@@ -50,7 +63,10 @@ def op10_zstd_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_scaled_sketch, op2_capture_index, op4_sum_of_squares_packing, op5_countmin_substrings, op7_super_minhash, op8_compression_bands, op10_zstd_classifier)
+    f.__name__: f for f in (
+        op1_scaled_sketch, op2_capture_index, op3_temperature_mixing, op4_sum_of_squares_packing, op5_countmin_substrings,
+        op6_separator_scan, op7_super_minhash, op8_compression_bands, op9_segment_lines, op10_zstd_classifier,
+    )
 }
 ORACLE: dict[str, str] = {
     "op2_capture_index": """
