@@ -22,7 +22,7 @@ MAX_REPEATS = 2.0
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the compression bands reject go."""
     found = compression_bands.quality(docs, passthrough=True)
-    return found.where("kept").select(*[f"`{c}`" for c in docs.columns])
+    return found.where("__quality.kept").drop("__quality")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pcframe.llm.common import as_bytes, small_batches
 
@@ -79,33 +80,36 @@ _SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_re
 
 
 def quality(docs: DataFrame, bands: Bands = Bands(), id_col: str = "doc_id", text_col: str = "text", passthrough: bool = False) -> DataFrame:
-    """One row per input row: id, base counts, base_failed, kept, and the two ratios.
+    """One row per input row: id, base counts, base_failed, kept, and the two ratios; with
+    passthrough all columns of docs, and these results as the struct __quality.
 
     Nulls: a null text is an empty one (no words: base_failed); a null id is returned as it is.
     Repeated rows each get a row; an empty table gives an empty one. Other columns are left
-    out, or, with passthrough, returned first, except those named as the results are.
-    No shuffle: one pass over the texts, whole, a batch at a time.
+    out, but for passthrough. No shuffle: one pass over the texts, whole, a batch at a time.
     """
     small_batches(docs.sparkSession)
     names = [c.split(" ")[0] for c in _SCHEMA.split(", ")]
-    kept = [c for c in docs.columns if c not in names] if passthrough else [id_col, text_col]
-    rows = docs.select(*kept) if passthrough else docs.select(F.col(id_col), F.col(text_col))
-    out = rows.schema if passthrough else rows.select(id_col).schema
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out) + ", " + _SCHEMA
+    rows = docs if passthrough else docs.select(F.col(id_col), F.col(text_col))
+    place = rows.columns.index(text_col)
+    carried = list(range(len(rows.columns))) if passthrough else [0]
+    out = T.StructType([rows.schema[i] for i in carried])
+    results = T.StructType.fromDDL(_SCHEMA)
+    out = out.add("__quality", results) if passthrough else T.StructType(out.fields + results.fields)
+    kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=bands.level)
         share, of = bands.max_repeat_share
         for batch in batches:
-            cols: dict[str, list] = {c: [] for c in names}
-            for text in as_bytes(batch.column(text_col)):
+            cols: list[list] = [[] for _ in names]
+            for text in as_bytes(batch.column(place)):
                 n, chars, symbols, dup, rep = _base(text, bands.window)
                 ratio, bad, ok = _verdict(text, bands, z)
                 failed = n < bands.min_words or of * rep > share * n
-                for c, v in zip(names, (n, chars, symbols, dup, rep, failed, ok and not failed, ratio, bad)):
-                    cols[c].append(v)
-            ids = [batch.column(f.name) for f in out]
-            kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
-            yield pa.RecordBatch.from_arrays([*ids, *(pa.array(cols[c], k) for c, k in zip(names, kinds))], [*(f.name for f in out), *names])
+                for c, v in zip(cols, (n, chars, symbols, dup, rep, failed, ok and not failed, ratio, bad)):
+                    c.append(v)
+            found = [pa.array(c, k) for c, k in zip(cols, kinds)]
+            found = [pa.StructArray.from_arrays(found, names)] if passthrough else found
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in carried), *found], out.names)
 
-    return rows.mapInArrow(run, ddl)
+    return rows.mapInArrow(run, out)
