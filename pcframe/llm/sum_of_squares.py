@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -20,28 +23,51 @@ END_ID = 1
 class WordIds(dict):
     """White-space delimited word (bytes) -> its ids as little-endian uint32 bytes.
 
-    The vocabulary's pattern never joins characters across white space, so a text's ids are
-    those of its words in turn; words recur, and only new ones go through the tokenizer.
+    The vocabulary's pattern never joins characters across white space, nor letters, digits and
+    other characters of ASCII (but for the seven contractions): a text's ids are those of its
+    words in turn, and an ASCII word's those of its lower-cased pieces. Words and pieces recur;
+    only new pieces go through the tokenizer. Both memories are bounded. One is kept for each
+    worker process (shared()).
     """
 
-    LIMIT = 400_000
+    LIMIT, PIECES = 1_200_000, 1_000_000
+    _ASCII = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+    _TAIL = re.compile(r"(.*?)([.,;:!?]+)", re.S)
 
     def __init__(self, path: str, plain_specials: bool = False):
         from tokenizers import Tokenizer
 
         super().__init__()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks of an executor are its threads
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = plain_specials
         self._tokenizer.no_truncation()
         self._tokenizer.no_padding()
+        self._pieces: dict[bytes, bytes] = {}
+
+    @staticmethod
+    @functools.lru_cache(maxsize=2)
+    def shared(path: str, plain_specials: bool = False) -> WordIds:
+        return WordIds(path, plain_specials)
+
+    def _split(self, word: bytes) -> list[bytes]:
+        if word.isascii():
+            return [word] if b"<|" in word else self._ASCII.findall(word.lower())
+        m = self._TAIL.fullmatch(word.decode("utf-8", "replace"))
+        return [m[1].encode(), m[2].encode()] if m and m[1][-1:].isalpha() else [word]
 
     def ids(self, text: bytes) -> bytes:
         words = text.split()
         if len(self) >= self.LIMIT:
             self.clear()
-        if new := list(set(words).difference(self)):
-            got = self._tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-            self.update((w, np.asarray(e.ids, "<u4").tobytes()) for w, e in zip(new, got))
+        if new := {w for w in words if w not in self}:
+            if len(self._pieces) >= self.PIECES:
+                self._pieces.clear()
+            cut = {w: self._split(w) for w in new}
+            if fresh := list({p for parts in cut.values() for p in parts if p not in self._pieces}):
+                got = self._tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in fresh], add_special_tokens=False)
+                self._pieces.update((p, np.asarray(e.ids, "<u4").tobytes()) for p, e in zip(fresh, got))
+            self.update((w, b"".join([self._pieces[p] for p in parts])) for w, parts in cut.items())
         return b"".join(map(self.__getitem__, words))
 
 
@@ -140,7 +166,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, id_col: str = "d
         from pyspark import TaskContext
 
         first = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
-        words, packer, end = WordIds(tokenizer), Packer(window), np.asarray([END_ID], "<u4").tobytes()
+        words, packer, end = WordIds.shared(tokenizer), Packer(window), np.asarray([END_ID], "<u4").tobytes()
         id_type = None
 
         def batch_of(found: list[tuple]) -> pa.RecordBatch:
