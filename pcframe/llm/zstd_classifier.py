@@ -11,11 +11,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pcframe.llm.common import as_bytes, small_batches
+from pcframe.llm.common import as_bytes, cut, small_batches
 
 #: Bounds of the sample that the model is fitted on, for each label.
 SAMPLE_CHUNKS = 2_000
-SAMPLE_DOCS = 1_500
+SAMPLE_DOCS = 2_000
 CHUNK_CHARS = 2_000
 DICT_BYTES = 64 * 1024
 LEVEL = 3
@@ -73,36 +73,37 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train=None) -> Model:
     """Fit on a bounded sample of the labelled rows where train (a condition on the id) holds.
 
-    Of each label's texts, cut whole into chunks of CHUNK_CHARS characters, the SAMPLE_CHUNKS
-    with the smallest hashes make the dictionaries, from documents whose hash is even; the
-    SAMPLE_DOCS odd ones of each label with the smallest hashes calibrate the score. Labels
-    other than 0 and 1 and null ids are left out; if a label has no rows, every score is 0.5.
+    Of each label the SAMPLE_DOCS documents with the smallest hashes of their ids are read. From
+    those of even hash, cut whole into chunks of CHUNK_CHARS characters, the SAMPLE_CHUNKS
+    with the smallest hashes make the dictionaries; the sample's other half calibrates the
+    score. Labels other than 0 and 1 and null ids are left out; if a label has no rows, every
+    score is 0.5.
     """
     wanted = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     if train is not None:
         wanted = wanted.where(train)
-    side = wanted.groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label_col)).alias("__y"))
-    both = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__t")).join(side, "__id")
-    both = both.where(F.length("__t") > 0).withColumn("__h", F.xxhash64("__t"))
+    spark = docs.sparkSession
+    small_batches(spark)
+    wanted = wanted.groupBy(F.col(id_col).cast("long").alias("__id")).agg(F.max(F.col(label_col)).cast("int").alias("__y")).withColumn("__h", F.xxhash64("__id"))
+    chosen = [r for y in (0, 1) for r in wanted.where(F.col("__y") == y).orderBy("__h").limit(SAMPLE_DOCS).collect()]
+    if len({r["__y"] for r in chosen}) < 2:
+        return Model(b"\0" * 8, b"\0" * 8, (0.0,) * 4, (0.0,) * 3, (1.0,) * 3)
+    side = F.broadcast(spark.createDataFrame(chosen, wanted.schema))  # 2 * SAMPLE_DOCS rows at most
+    both = cut(docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__t")).where(F.length("__t") > 0).join(side, "__id"), "sample")
     chunks = both.where("__h % 2 = 0").select("__y", F.explode(F.expr(f"transform(sequence(1, length(__t), {CHUNK_CHARS}), i -> substring(__t, i, {CHUNK_CHARS}))")).alias("__c"))
     chunks = chunks.withColumn("__k", F.xxhash64("__c"))
-    got: dict[int, list[bytes]] = {}
-    rest: list[tuple[int, list[bytes]]] = []
-    for y in (0, 1):
-        got[y] = [r[0].encode() for r in chunks.where(F.col("__y") == y).orderBy("__k", "__c").select("__c").limit(SAMPLE_CHUNKS).collect()]
+    got = {y: [r[0].encode() for r in chunks.where(F.col("__y") == y).orderBy("__k", "__c").select("__c").limit(SAMPLE_CHUNKS).collect()] for y in (0, 1)}
     good, bad = (_dictionary(got[y], DICT_BYTES) for y in (1, 0))
-    # the features of whole texts, not the texts, come to the driver
-    small_batches(docs.sparkSession)
 
+    # the features of whole texts, not the texts, come to the driver
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g, b = _compressors(good, bad)
         for batch in batches:
-            f = [_features(t, g, b) for t in as_bytes(batch.column(2))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([x[i] for x in f], pa.float64()) for i in range(3))], ["y", "h", "a", "b", "c"])
+            f = [_features(t, g, b) for t in as_bytes(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[i] for x in f], pa.float64()) for i in range(3))], ["y", "a", "b", "c"])
 
-    table = both.where("__h % 2 != 0").select(F.col("__y").cast("int"), "__h", "__t").mapInArrow(measured, "y int, h long, a double, b double, c double")
-    for y in (0, 1):
-        rest += table.where(F.col("y") == y).orderBy("h", "a", "b", "c").limit(SAMPLE_DOCS).collect()
+    table = both.where("__h % 2 <> 0").select("__y", "__t").mapInArrow(measured, "y int, a double, b double, c double")
+    rest = sorted(table.collect())
     y = np.array([r["y"] for r in rest], float)
     if len(set(y)) < 2:
         return Model(good, bad, (0.0, 0.0, 0.0, 0.0), (0.0,) * 3, (1.0,) * 3)
