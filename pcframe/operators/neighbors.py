@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from pcframe.model import PointCloud, as_point_cloud
 from pcframe.plans import search
 
-ALGORITHMS = ("auto", "batch", "grid")
+ALGORITHMS = ("auto", "local", "batch", "grid")
 
 
 class NeighborIndex:
     """A reference cloud to search in. algorithm: 'batch' joins whole entries, 'grid' joins cells
-    (rings of them without a radius), 'auto' takes the grid wherever there is a radius."""
+    (rings of them without a radius), 'local' searches an entry in one task. 'auto' takes the
+    grid wherever there is a radius; without one, 'local' if no entry has more than
+    search.LOCAL_POINTS points (one small aggregate tells), else the grid."""
 
     def __init__(self, reference, *, algorithm: str = "auto"):
         if algorithm not in ALGORITHMS:
@@ -30,13 +32,18 @@ class NeighborIndex:
             raise ValueError("radius must be positive and finite")
         r, q = search.sides(self.reference.points, as_point_cloud(queries).points, carry)
         if radius is None:
-            found = search.ring_knn(r, q, k) if self.algorithm == "grid" else search.top_k(search.batch_join(r, q), k)
+            plan = self.algorithm if self.algorithm != "auto" else "local" if self._small(queries) else "grid"
+            found = {"local": search.local_knn, "grid": search.ring_knn, "batch": lambda r, q, k: search.top_k(search.batch_join(r, q), k)}[plan](r, q, k)
         elif self.algorithm == "batch":
             found = search.top_k(search.batch_join(r, q).where(F.col("d2") <= F.lit(radius * radius)), k)
         else:
             found = search.top_k(search.band_join(r, q, radius), k)
         return found
 
+    def _small(self, queries) -> bool:
+        sizes = self.reference.clouds.select("length").unionByName(as_point_cloud(queries).clouds.select("length"))
+        return (sizes.agg(F.max("length")).first()[0] or 0) <= search.LOCAL_POINTS
+
     def _long(self, found: DataFrame) -> DataFrame:
         return found.select("batch_id", "query_row", "rank", "ref_row", "d2")
 

@@ -31,6 +31,19 @@ class Kernel:
             return F.lit(1.0)
         return F.when(residual <= F.lit(self.delta), F.lit(1.0)).otherwise(F.lit(self.delta) / F.greatest(residual, F.lit(2.2250738585072014e-308)))
 
+    def weights(self, residual: np.ndarray) -> np.ndarray:
+        """The same, in numpy."""
+        if self.name is None:
+            return np.ones_like(residual)
+        return np.where(residual <= self.delta, 1.0, self.delta / np.maximum(residual, 2.2250738585072014e-308))
+
+
+def _largest(*some: PointCloud) -> int:
+    sizes = some[0].clouds.select("length")
+    for c in some[1:]:
+        sizes = sizes.unionByName(c.clouds.select("length"))
+    return sizes.agg(F.max("length")).first()[0] or 0
+
 
 def _positive(max_distance: float) -> None:
     if not (max_distance > 0 and np.isfinite(max_distance)):
@@ -97,36 +110,94 @@ def delta_of(method: str, sums: np.ndarray, origin: np.ndarray) -> np.ndarray |
 _STATE = "batch_id long, m array<array<double>>, active boolean, converged boolean, iterations int, fitness double, rmse double"
 
 
-def _step(method: str, first: bool, relative_fitness: float, relative_rmse: float):
-    """One turn of the state machine, on rows of state joined with their evaluation."""
+@dataclass(frozen=True)
+class Rules:
+    """What ends an entry's turns."""
+
+    method: str
+    relative_fitness: float
+    relative_rmse: float
+
+
+@dataclass
+class State:
+    """One entry between turns."""
+
+    m: np.ndarray
+    active: bool = True
+    converged: bool = False
+    iterations: int = 0
+    fitness: float = 0.0
+    rmse: float = 0.0
+
+    def advance(self, rules: Rules, first: bool, hits: int, error: float, length: int, sums: np.ndarray, origin: np.ndarray) -> None:
+        """One turn, from the evaluation under the motion so far."""
+        fitness, rmse = hits / length, float(np.sqrt(error / hits)) if hits else 0.0
+        self.active = self.active and hits >= METHODS[rules.method]
+        if self.active and not first and abs(fitness - self.fitness) < rules.relative_fitness and abs(rmse - self.rmse) < rules.relative_rmse:
+            self.active, self.converged = False, True
+        if self.active:
+            step = delta_of(rules.method, sums, origin)
+            self.active = step is not None
+            if step is not None:
+                self.m, self.iterations = step @ self.m, self.iterations + 1
+        self.fitness, self.rmse = fitness, rmse
+
+
+def _turn(rules: Rules, first: bool):
+    """A turn for rows of state joined with their evaluation."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for r in b.itertuples(index=False):
+                s = State(np.array([list(x) for x in r.m]), bool(r.active), bool(r.converged), int(r.iterations), r.fitness, r.rmse)
                 hits = 0 if pd.isna(r.hits) else int(r.hits)
-                fitness, rmse = hits / r.length, float(np.sqrt(r.error / hits)) if hits else 0.0
-                active, converged, iterations, m = bool(r.active) and hits >= METHODS[method], bool(r.converged), int(r.iterations), np.array([list(x) for x in r.m])
-                if active and not first and abs(fitness - r.fitness) < relative_fitness and abs(rmse - r.rmse) < relative_rmse:
-                    active, converged = False, True
-                if active:
-                    step = delta_of(method, np.asarray(r.sums, float), np.array([r.ox, r.oy, r.oz]))
-                    active = step is not None
-                    if active:
-                        m, iterations = step @ m, iterations + 1
-                rows.append((r.batch_id, m.tolist(), active, converged, iterations, fitness, rmse))
+                s.advance(rules, first, hits, r.error if hits else 0.0, r.length, np.asarray(r.sums if hits else [], float), np.array([r.ox, r.oy, r.oz]))
+                rows.append((r.batch_id, s.m.tolist(), s.active, s.converged, s.iterations, s.fitness, s.rmse))
             yield pd.DataFrame(rows, columns=["batch_id", "m", "active", "converged", "iterations", "fitness", "rmse"])
 
     return run
 
 
-def _keep(df: DataFrame) -> DataFrame:
-    """Cut the lineage of the (one row an entry) state."""
-    if df.sparkSession.sparkContext.getCheckpointDir() is None:
-        import tempfile
+def _moved(m: np.ndarray, p: np.ndarray) -> np.ndarray:
+    return np.column_stack([m[i, 0] * p[:, 0] + m[i, 1] * p[:, 1] + m[i, 2] * p[:, 2] + m[i, 3] for i in range(3)])
+
+
+def _local(rules: Rules, kernel: Kernel, max_distance: float, max_iterations: int):
+    """All turns of one entry, in numpy: the same sums and the same state machine."""
+
+    def evaluate(m: np.ndarray, p: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        q = _moved(m, p)
+        i, j, d2 = search.nearest(q, t, 1)
+        near = d2 <= max_distance * max_distance
+        return q[i[near]], j[near], d2[near]
+
+    def sums_of(q: np.ndarray, r: np.ndarray, n: np.ndarray | None, d2: np.ndarray, origin: np.ndarray) -> np.ndarray:
+        if n is None:
+            w = kernel.weights(np.sqrt(d2))[:, None]
+            a, b = q - origin, r - origin
+            return np.concatenate([[w.sum()], (w * a).sum(0), (w * b).sum(0), ((w * a).T @ b).reshape(-1)])
+        res = ((q - r) * n).sum(1)
+        w = kernel.weights(np.abs(res))[:, None]
+        j = np.concatenate([np.cross(q, n), n], axis=1)
+        return np.concatenate([((w * j).T @ j)[np.triu_indices(6)], ((w * j) * res[:, None]).sum(0)])
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty:
+            return pd.DataFrame(columns=["batch_id", "m", "active", "converged", "iterations", "fitness", "rmse"])
+        b = b.sort_values("row_id", ignore_index=True)
+        p, t = a[list(XYZ)].to_numpy(float), b[list(XYZ)].to_numpy(float)
+        n = b[list(NORMALS)].to_numpy(float) if rules.method == "point_to_plane" else None
+        origin, s = t.mean(0), State(np.array([list(x) for x in a["m"].iloc[0]]))
+        for turn in range(max_iterations):
+            q, j, d2 = evaluate(s.m, p, t)
+            s.advance(rules, turn == 0, len(j), float(d2.sum()), len(p), sums_of(q, t[j], None if n is None else n[j], d2, origin), origin)
+            if not s.active:
+                break
+        return pd.DataFrame([(a["batch_id"].iloc[0], s.m.tolist(), s.active, s.converged, s.iterations, s.fitness, s.rmse)], columns=["batch_id", "m", "active", "converged", "iterations", "fitness", "rmse"])
 
-        df.sparkSession.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pcframe-"))
-    return df.checkpoint()
+    return run
 
 
 def _target_rows(target: PointCloud, target_normals: DataFrame | None, method: str) -> DataFrame:
@@ -140,7 +211,7 @@ def _target_rows(target: PointCloud, target_normals: DataFrame | None, method: s
     return target.points.select("batch_id", "row_id", *XYZ, *NORMALS)
 
 
-def icp(source, target, max_distance: float, *, init=None, method: str = "point_to_point", target_normals: DataFrame | None = None, max_iterations: int = 30, relative_fitness: float = 1e-6, relative_rmse: float = 1e-6, robust_kernel: str | None = None, robust_delta: float = 1.0, index: NeighborIndex | None = None) -> DataFrame:
+def icp(source, target, max_distance: float, *, init=None, method: str = "point_to_point", target_normals: DataFrame | None = None, max_iterations: int = 30, relative_fitness: float = 1e-6, relative_rmse: float = 1e-6, robust_kernel: str | None = None, robust_delta: float = 1.0, index: NeighborIndex | None = None, strategy: str = "auto") -> DataFrame:
     """batch_id, transform (4x4), converged, iterations, fitness, inlier_rmse: the rigid motion of
     each entry of source onto target.
 
@@ -148,8 +219,13 @@ def icp(source, target, max_distance: float, *, init=None, method: str = "point_
     few matches (3 point to point, 6 point to plane) or an unsolvable step stops; one whose
     fitness and rmse both change by less than the (absolute) limits converges and isn't moved
     again. fitness and inlier_rmse are evaluated under the final motion.
-    The state is a row an entry and stays distributed; a turn tells the driver one boolean.
+
+    strategy: 'distributed' makes a plan a turn, whatever an entry's size: the state is a row an
+    entry and stays distributed, and a turn tells the driver one boolean. 'local' takes all turns
+    of an entry in one task. 'auto' is local if no entry has more than search.LOCAL_POINTS points.
     """
+    if strategy not in ("auto", "local", "distributed"):
+        raise ValueError("strategy must be 'auto', 'local', or 'distributed'")
     source, target = as_point_cloud(source), as_point_cloud(target)
     check_pair(source, target)
     _positive(max_distance)
@@ -167,20 +243,31 @@ def icp(source, target, max_distance: float, *, init=None, method: str = "point_
         raise ValueError("index must be over the target")
     rows = _target_rows(target, target_normals, method)
     normals, kernel = method == "point_to_plane", Kernel(robust_kernel, robust_delta)
+    rules = Rules(method, relative_fitness, relative_rmse)
+    if strategy == "local" or strategy == "auto" and _largest(source, target) <= search.LOCAL_POINTS:
+        begin = initial_transforms(source, init)
+        moving = source.points.select("batch_id", "row_id", *[F.col(c).cast("double") for c in XYZ]).join(begin.select("batch_id", "m"), "batch_id")
+        fixed = rows.select(*[F.col(c).alias(c) for c in rows.columns])  # columns of its own, where both are one cloud
+        state = search.keep(moving.groupBy("batch_id").cogroup(fixed.groupBy("batch_id")).applyInPandas(_local(rules, kernel, max_distance, max_iterations), _STATE))
+    else:
+        state = _distributed(source, target, rows, init, rules, kernel, normals, max_distance, max_iterations)
+    final = evaluate_registration(source, target, max_distance, state.select("batch_id", "m"))
+    return final.join(state.select("batch_id", "converged", "iterations"), "batch_id").select("batch_id", "transform", "converged", "iterations", "fitness", "inlier_rmse")
+
+
+def _distributed(source: PointCloud, target: PointCloud, rows: DataFrame, init, rules: Rules, kernel: Kernel, normals: bool, max_distance: float, max_iterations: int) -> DataFrame:
     origin = target.points.groupBy("batch_id").agg(*[F.avg(F.col(c).cast("double")).alias(f"o{c}") for c in XYZ])
-    fixed = _keep(source.clouds.join(origin, "batch_id"))
-    state = _keep(initial_transforms(source, init).select("batch_id", "m", F.lit(True).alias("active"), F.lit(False).alias("converged"), F.lit(0).alias("iterations"), F.lit(0.0).alias("fitness"), F.lit(0.0).alias("rmse")))
+    fixed = search.keep(source.clouds.join(origin, "batch_id"))
+    state = search.keep(initial_transforms(source, init).select("batch_id", "m", F.lit(True).alias("active"), F.lit(False).alias("converged"), F.lit(0).alias("iterations"), F.lit(0.0).alias("fitness"), F.lit(0.0).alias("rmse")))
     for turn in range(max_iterations):
         moving = state.where("active").select("batch_id", "m")
         found = _matched(source, rows, moving, max_distance, normals).join(fixed.select("batch_id", *[f"o{c}" for c in XYZ]), "batch_id")
-        sums = found.groupBy("batch_id").agg(*_sums(method, kernel))
-        done = state.where("not active")
+        sums = found.groupBy("batch_id").agg(*_sums(rules.method, kernel))
         joined = state.where("active").join(fixed, "batch_id").join(sums, "batch_id", "left")
-        state = _keep(joined.mapInPandas(_step(method, turn == 0, relative_fitness, relative_rmse), _STATE).unionByName(done))
+        state = search.keep(joined.mapInPandas(_turn(rules, turn == 0), _STATE).unionByName(state.where("not active")))
         if state.where("active").isEmpty():
             break
-    final = evaluate_registration(source, target, max_distance, state.select("batch_id", "m"))
-    return final.join(state.select("batch_id", "converged", "iterations"), "batch_id").select("batch_id", "transform", "converged", "iterations", "fitness", "inlier_rmse")
+    return state
 
 
 def evaluate_registration(source, target, max_distance: float, transforms=None, *, index: NeighborIndex | None = None) -> DataFrame:

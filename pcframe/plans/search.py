@@ -1,4 +1,5 @@
-"""Plans of the neighbor search: batch join, grid band join, and widening rings.
+"""Plans of the neighbor search: batch join, grid band join, widening rings, and whole small
+entries in numpy.
 
 All give rows batch_id, query_row, ref_row, d2 (and the carried columns of both sides);
 d2 is (qx-x)*(qx-x) + (qy-y)*(qy-y) + (qz-z)*(qz-z), associated in that order.
@@ -6,6 +7,8 @@ d2 is (qx-x)*(qx-x) + (qy-y)*(qy-y) + (qz-z)*(qz-z), associated in that order.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +17,8 @@ from pcframe.model import XYZ
 #: Cells are a little larger than the radius, so that rounding at a cell's edge can't lose a pair.
 _SLACK = 1 + 1e-9
 MAX_K = 64
+#: Points of the largest entry up to which an entry is searched whole in one task.
+LOCAL_POINTS = 8_192
 
 
 def sides(reference: DataFrame, queries: DataFrame, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
@@ -60,6 +65,54 @@ def top_k(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """Cut the lineage of an intermediate result: checkpoint it to the shared folder."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        import tempfile
+
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="pcframe-"))
+    return df.checkpoint()
+
+
+def nearest(q: np.ndarray, r: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, reference, d2) of the k nearest, in order of (query, d2, reference); NaN never."""
+    out, step = [], max(1, 2_000_000 // max(1, len(r)))
+    for at in range(0, len(q), step):
+        part = q[at : at + step]
+        d = np.square(part[:, None, 0] - r[None, :, 0])
+        d += np.square(part[:, None, 1] - r[None, :, 1])
+        d += np.square(part[:, None, 2] - r[None, :, 2])
+        d[np.isnan(d)] = np.inf
+        if k == 1 and len(r):
+            i, j = np.arange(len(part)), d.argmin(1)
+        else:
+            bound = np.partition(d, min(k, len(r)) - 1, axis=1)[:, [min(k, len(r)) - 1]] if len(r) else d
+            i, j = np.nonzero(d <= bound)  # the k nearest and what ties with the last
+            order = np.lexsort((j, d[i, j], i))
+            i, j = i[order], j[order]
+            rank = np.arange(len(i)) - np.searchsorted(i, i)
+            i, j = i[rank < k], j[rank < k]
+        v = d[i, j]
+        out.append((i[v < np.inf] + at, j[v < np.inf], v[v < np.inf]))
+    return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.empty(0, int), np.empty(0, int), np.empty(0))
+
+
+def local_knn(r: DataFrame, q: DataFrame, k: int) -> DataFrame:
+    """top_k of batch_join, an entry a task; for entries of checked size."""
+    fields = [f for f in [*q.schema, *r.schema] if f.name != "batch_id"]
+    ddl = "batch_id long, rank int, d2 double, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields)
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("ref_row", ignore_index=True)
+        i, j, d = nearest(a[["qx", "qy", "qz"]].to_numpy(float), b[["rx", "ry", "rz"]].to_numpy(float), k)
+        out = pd.concat([a.iloc[i].reset_index(drop=True), b.drop(columns="batch_id").iloc[j].reset_index(drop=True)], axis=1)
+        out["d2"], out["rank"] = d, np.arange(len(i)) - np.searchsorted(i, i) + 1
+        return out
+
+    return q.groupBy("batch_id").cogroup(r.groupBy("batch_id")).applyInPandas(run, ddl)
+
+
 def ring_knn(r: DataFrame, q: DataFrame, k: int, rounds: int = 4) -> DataFrame:
     """Exact k nearest without a radius, not quadratic in dense entries.
 
@@ -67,7 +120,6 @@ def ring_knn(r: DataFrame, q: DataFrame, k: int, rounds: int = 4) -> DataFrame:
     others go on with twice the radius, and after the rounds what is left (queries far from
     everything, or entries with fewer than k points) meets its whole entry.
     """
-    spark = r.sparkSession
     e = r.groupBy("batch_id").agg(F.count("*").alias("n"), *[(F.max(f"r{c}") - F.min(f"r{c}")).alias(c) for c in XYZ])
     side = lambda c: F.greatest(F.col(c), F.lit(1e-12))
     found = e.agg(F.max(F.pow(side("x") * side("y") * side("z") / F.col("n") * F.lit(float(k)), F.lit(1 / 3))).alias("r")).first()["r"]
@@ -77,8 +129,10 @@ def ring_knn(r: DataFrame, q: DataFrame, k: int, rounds: int = 4) -> DataFrame:
     for _ in range(rounds):
         near = top_k(band_join(r, left, radius), k)
         full = near.groupBy("batch_id", "query_row").agg(F.count("*").alias("m")).where(F.col("m") >= k).select("batch_id", "query_row")
-        near = near.join(full, ["batch_id", "query_row"], "left_semi").checkpoint() if spark.sparkContext.getCheckpointDir() else near.join(full, ["batch_id", "query_row"], "left_semi").cache()
+        near = keep(near.join(full, ["batch_id", "query_row"], "left_semi"))
         done = near if done is None else done.unionByName(near)
-        left = left.join(near.select("batch_id", "query_row").distinct(), ["batch_id", "query_row"], "left_anti")
+        left = keep(left.join(near.select("batch_id", "query_row").distinct(), ["batch_id", "query_row"], "left_anti"))
+        if left.isEmpty():
+            return done
         radius *= 2
     return done.unionByName(top_k(batch_join(r, left), k).select(done.columns))

@@ -73,16 +73,17 @@ def test_procrustes_errors(spark):
         procrustes(flat, cloud(spark, [(0, 0, 0.0, 0.0, 0.0)], [1]))
 
 
-def test_icp_recovers_and_isolates_failures(spark):
+@pytest.mark.parametrize("strategy", ["local", "distributed"])
+def test_icp_recovers_and_isolates_failures(spark, strategy):
     g = np.random.default_rng(4).random((2, 150, 3))
     m = np.array(pose_to_matrix((0.03, -0.02, 0.02, 0.01, -0.01, 0.02)))
     s = dense(spark, g)
     t = transform(s, m.tolist())
     s = PointCloud(s.points.withColumn("x", F.when(F.col("batch_id") == 1, F.col("x") + 100).otherwise(F.col("x"))), s.clouds)
-    good, bad = icp(s, t, 0.1).orderBy("batch_id").collect()
+    good, bad = icp(s, t, 0.1, strategy=strategy).orderBy("batch_id").collect()
     assert good.converged and good.fitness == 1.0 and np.allclose(good.transform, m, atol=1e-5)
     assert not bad.converged and bad.iterations == 0 and np.array_equal(bad.transform, np.eye(4)) and bad.fitness == 0 == bad.inlier_rmse
-    one = icp(s, t, 0.1, max_iterations=1).orderBy("batch_id").first()
+    one = icp(s, t, 0.1, max_iterations=1, strategy=strategy).orderBy("batch_id").first()
     assert not one.converged and one.iterations == 1
     at = evaluate_registration(s, t, 0.1, m.tolist()).orderBy("batch_id").first()
     assert at.fitness == 1.0 and at.inlier_rmse < 1e-12
