@@ -42,7 +42,9 @@ def shared_dir(spark: SparkSession) -> str:
         found = "file://" + tempfile.mkdtemp(prefix="pcframe-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+    path = spark._jvm.org.apache.hadoop.fs.Path(found)
+    # with its file system's name, which the writers in Python need as well
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
 
 def fresh_dir(spark: SparkSession, what: str) -> str:

@@ -76,4 +76,38 @@ ORACLE: dict[str, str] = {
                CASE WHEN payload_bytes >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to
         FROM f""",
+    "op5_countmin_substrings": """
+        WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        p AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13),
+        g AS MATERIALIZED (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM p),
+        f AS (SELECT g, min(doc_id) AS least FROM g GROUP BY 1),
+        c AS (SELECT DISTINCT doc_id, i + j AS pos FROM g JOIN f USING (g), range(13) t(j) WHERE doc_id > least),
+        k AS (SELECT doc_id, list(pos) AS gone FROM c GROUP BY 1)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+               sha256(coalesce(array_to_string(list_filter(w, lambda x, i: NOT list_contains(coalesce(gone, []), i)), ' '), '')) AS kept_sha256
+        FROM d LEFT JOIN k USING (doc_id)""",
+    "op7_super_minhash": """
+        WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        s AS MATERIALIZED (
+            SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 2)) AS i FROM d WHERE len(w) >= 4)
+            UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 3),
+        n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        m AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        l AS MATERIALIZED (SELECT a, b FROM m JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * m >= 80 * (x.n + y.n - m)),
+        e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r AS (SELECT doc_id, doc_id AS to_id FROM d UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.to_id = e.a),
+        c AS (SELECT doc_id, min(to_id) AS component_id FROM r GROUP BY 1)
+        SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, component_id = doc_id AS kept FROM c LEFT JOIN n USING (doc_id)""",
+    "op9_segment_lines": """
+        WITH d AS MATERIALIZED (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
+        p AS (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM d),
+        x AS MATERIALIZED (SELECT * FROM (SELECT doc_id, i, trim(l[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line FROM p) WHERE line <> ''),
+        u AS MATERIALIZED (SELECT line, min(doc_id * 4294967296 + i) AS place, length(line) AS n FROM x GROUP BY 1),
+        t AS (SELECT a.line AS a, b.line AS b FROM u a JOIN u b ON left(a.line, 9) = left(b.line, 9) AND a.place > b.place WHERE a.n >= 20 AND b.n >= 20 AND abs(a.n - b.n) <= 1
+              UNION SELECT a.line, b.line FROM u a JOIN u b ON right(a.line, 9) = right(b.line, 9) AND a.place > b.place WHERE a.n >= 20 AND b.n >= 20 AND abs(a.n - b.n) <= 1),
+        z AS (SELECT DISTINCT a AS line, true AS near FROM t WHERE len(list_filter(range(0, length(a) + 1), lambda k: left(a, k) = left(b, k) AND substr(a, k + CASE WHEN length(a) < length(b) THEN 1 ELSE 2 END) = substr(b, k + CASE WHEN length(b) < length(a) THEN 1 ELSE 2 END))) > 0),
+        k AS (SELECT doc_id, list(i) AS gone FROM x JOIN u USING (line) LEFT JOIN z USING (line) WHERE near OR doc_id * 4294967296 + i > place GROUP BY 1)
+        SELECT doc_id, CAST(coalesce(len(l), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+               sha256(array_to_string(list_filter(l, lambda x, i: NOT list_contains(coalesce(gone, []), i)), chr(10))) AS kept_sha256
+        FROM d LEFT JOIN k USING (doc_id)""",
 }
