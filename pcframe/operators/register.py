@@ -165,7 +165,8 @@ def _moved(m: np.ndarray, p: np.ndarray) -> np.ndarray:
 
 
 def _local(rules: Rules, kernel: Kernel, max_distance: float, max_iterations: int):
-    """All turns of one entry, in numpy: the same sums and the same state machine."""
+    """All turns of one entry and its last evaluation, in numpy: the same sums and the same state
+    machine."""
 
     def evaluate(m: np.ndarray, p: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         q = _moved(m, p)
@@ -195,6 +196,8 @@ def _local(rules: Rules, kernel: Kernel, max_distance: float, max_iterations: in
             s.advance(rules, turn == 0, len(j), float(d2.sum()), len(p), sums_of(q, t[j], None if n is None else n[j], d2, origin), origin)
             if not s.active:
                 break
+        _, j, d2 = evaluate(s.m, p, t)
+        s.fitness, s.rmse = len(j) / len(p), float(np.sqrt(d2.sum() / len(j))) if len(j) else 0.0
         return pd.DataFrame([(a["batch_id"].iloc[0], s.m.tolist(), s.active, s.converged, s.iterations, s.fitness, s.rmse)], columns=["batch_id", "m", "active", "converged", "iterations", "fitness", "rmse"])
 
     return run
@@ -248,9 +251,9 @@ def icp(source, target, max_distance: float, *, init=None, method: str = "point_
         begin = initial_transforms(source, init)
         moving = source.points.select("batch_id", "row_id", *[F.col(c).cast("double") for c in XYZ]).join(begin.select("batch_id", "m"), "batch_id")
         fixed = rows.select(*[F.col(c).alias(c) for c in rows.columns])  # columns of its own, where both are one cloud
-        state = search.keep(moving.groupBy("batch_id").cogroup(fixed.groupBy("batch_id")).applyInPandas(_local(rules, kernel, max_distance, max_iterations), _STATE))
-    else:
-        state = _distributed(source, target, rows, init, rules, kernel, normals, max_distance, max_iterations)
+        state = moving.groupBy("batch_id").cogroup(fixed.groupBy("batch_id")).applyInPandas(_local(rules, kernel, max_distance, max_iterations), _STATE)
+        return state.select("batch_id", F.col("m").alias("transform"), "converged", "iterations", "fitness", F.col("rmse").alias("inlier_rmse"))
+    state = _distributed(source, target, rows, init, rules, kernel, normals, max_distance, max_iterations)
     final = evaluate_registration(source, target, max_distance, state.select("batch_id", "m"))
     return final.join(state.select("batch_id", "converged", "iterations"), "batch_id").select("batch_id", "transform", "converged", "iterations", "fitness", "inlier_rmse")
 
