@@ -22,8 +22,9 @@ WINDOW = 13
 #: up to MAX_WIDTH; past that the estimates are coarser and the exact pass groups more windows.
 DEPTH, LOAD, MAX_WIDTH = 2, 3, 1 << 31
 #: Counters of one shard of a row, windows of one partition sketch, partition sketches that are
-#: merged at once, windows of a bucket of the exact pass, bytes of text of a final shard.
-SHARD, FLUSH, FAN_IN, BUCKET, TEXT_BYTES = 1 << 22, 4_000_000, 256, 2_000_000, 12_000_000
+#: merged at once, windows that a task groups before it sends them on (each takes some 200 bytes
+#: then), windows of a bucket of the exact pass, bytes of text of a final shard.
+SHARD, FLUSH, FAN_IN, LOT, BUCKET, TEXT_BYTES = 1 << 22, 8_000_000, 256, 1_000_000, 2_000_000, 12_000_000
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -58,6 +59,7 @@ def _partition_sketches(width: int, k: int, fan_out: int):
 
         def flush() -> Iterator[pa.RecordBatch]:
             h = np.concatenate(held)
+            held.clear()
             for row in range(DEPTH):
                 cells = np.sort(_cells(h, row, width))
                 last = np.concatenate([cells[1:] != cells[:-1], [True]])
@@ -81,7 +83,7 @@ def _partition_sketches(width: int, k: int, fan_out: int):
                 n += len(held[-1])
                 if n >= FLUSH:
                     yield from flush()
-                    held, n, part = [], 0, part + 1
+                    n, part = 0, part + 1
         if n:
             yield from flush()
 
@@ -168,6 +170,7 @@ def _flagged(path: str, width: int, k: int, buckets: int, shards: int):
 
         def flush() -> Iterator[pa.RecordBatch]:
             doc, key, pos, h0, h1 = (np.concatenate(c) for c in zip(*held))
+            held.clear()
             later = _later(h0, h1, doc)  # known here: of a window, only its least document in this lot is open
             g, kind, blobs = [], [], []
             for s, blob in _by_shard(doc[later], key[later], pos[later], shards):
@@ -198,9 +201,9 @@ def _flagged(path: str, width: int, k: int, buckets: int, shards: int):
                 if len(pos):
                     held.append((np.full(len(pos), doc, np.int64), np.full(len(pos), key, np.int64), pos, h[pos], window_hashes(words, k, 1)[pos] & np.uint64(0xFFFFFFFF)))
                     n += len(pos)
-                if n >= FLUSH:
+                if n >= LOT:
                     yield from flush()
-                    held, n = [], 0
+                    n = 0
         if n:
             yield from flush()
 
