@@ -17,6 +17,9 @@ from pcframe.llm.components import components
 SLOTS, BANDS, ROWS = 127, 25, 5
 #: Shingles of the members of a candidate group that one task verifies at once.
 CHUNK_SHINGLES = 1_000_000
+#: Ids of candidate documents (8 bytes each) that are broadcast at most, to leave the texts of
+#: all others where they are; more ids meet the texts by a shuffle.
+BROADCAST_IDS = 1_000_000
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -173,7 +176,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (8
     pairs = cut(pairs, "candidates")
     groups = pairs.groupBy("head").agg(F.greatest(F.ceil(F.sum("n") / F.lit(CHUNK_SHINGLES)), F.lit(1)).cast("int").alias("chunks"))
     groups = cut(groups, "groups")
-    sets = cut(d.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(k), "doc_id long, blob binary"), "sets")
+    wanted = pairs.select("doc_id").distinct()
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    sets = cut(d.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(k), "doc_id long, blob binary"), "sets")
 
     num, den = threshold
     links_ddl = "a long, b long"
