@@ -31,8 +31,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "do
         name, out, first, at = attempt_name("tokens") + ".bin", None, 0, 0
         for b in batches:
             out = out or fs.open_output_stream(f"{top}/{name}", compression=None)
-            for text in as_bytes(b.column(1)):
-                ids = np.frombuffer(words.ids(text), "<u4").astype("<u2").tobytes() + end
+            for found in words.ids_of(as_bytes(b.column(1))):
+                ids = np.frombuffer(found, "<u4").astype("<u2").tobytes() + end
                 out.write(ids)
                 at += len(ids) // 2
             ids = pa.ListArray.from_arrays(pa.array([0, len(b)], pa.int32()), b.column(0))

@@ -30,8 +30,9 @@ class WordIds(dict):
     worker process (shared()).
     """
 
-    LIMIT, PIECES = 1_200_000, 1_000_000
+    LIMIT, PIECES, LOT_BYTES = 1_200_000, 1_000_000, 1_000_000
     _ASCII = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+    _SIMPLE = re.compile(rb"[a-z]+|[0-9]")
     _TAIL = re.compile(r"(.*?)([.,;:!?]+)", re.S)
 
     def __init__(self, path: str, plain_specials: bool = False):
@@ -43,6 +44,9 @@ class WordIds(dict):
         self._tokenizer.encode_special_tokens = plain_specials
         self._tokenizer.no_truncation()
         self._tokenizer.no_padding()
+        # lower-case letters and digits of ASCII are themselves to the vocabulary's
+        # normaliser and byte alphabet: its model alone gives their ids
+        self._model = Tokenizer(self._tokenizer.model)
         self._pieces: dict[bytes, bytes] = {}
 
     @staticmethod
@@ -57,18 +61,36 @@ class WordIds(dict):
         return [m[1].encode(), m[2].encode()] if m and m[1][-1:].isalpha() else [word]
 
     def ids(self, text: bytes) -> bytes:
-        words = text.split()
-        if len(self) >= self.LIMIT:
-            self.clear()
-        if new := {w for w in words if w not in self}:
-            if len(self._pieces) >= self.PIECES:
-                self._pieces.clear()
-            cut = {w: self._split(w) for w in new}
-            if fresh := list({p for parts in cut.values() for p in parts if p not in self._pieces}):
-                got = self._tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in fresh], add_special_tokens=False)
-                self._pieces.update((p, np.asarray(e.ids, "<u4").tobytes()) for p, e in zip(fresh, got))
-            self.update((w, b"".join([self._pieces[p] for p in parts])) for w, parts in cut.items())
-        return b"".join(map(self.__getitem__, words))
+        return next(self.ids_of([text]))
+
+    def ids_of(self, texts: list[bytes]) -> Iterator[bytes]:
+        """Of each text in turn; some LOT_BYTES of texts learn their new words together."""
+        lot: list[tuple[list[bytes], list[bytes | None]]] = []
+        size = 0
+        for i, text in enumerate(texts):
+            words = text.split()
+            lot.append((words, list(map(self.get, words))))
+            size += len(text)
+            if size >= self.LOT_BYTES or i == len(texts) - 1:
+                new = {w for words, found in lot if None in found for w, ids in zip(words, found) if ids is None}
+                if len(self) + len(new) > self.LIMIT:
+                    self.clear()  # what the lot has found it keeps
+                self._learn(new)
+                for words, found in lot:
+                    yield b"".join([self[w] if ids is None else ids for w, ids in zip(words, found)] if None in found else found)
+                lot, size = [], 0
+
+    def _learn(self, new: set[bytes]) -> None:
+        if len(self._pieces) >= self.PIECES:
+            self._pieces.clear()
+        cut = {w: self._split(w) for w in new}
+        if fresh := list({p for parts in cut.values() for p in parts if p not in self._pieces}):
+            simple = [p for p in fresh if self._SIMPLE.fullmatch(p)]
+            other = [p for p in fresh if not self._SIMPLE.fullmatch(p)]
+            for tokenizer, some in ((self._model, simple), (self._tokenizer, other)):
+                got = tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in some], add_special_tokens=False)
+                self._pieces.update((p, np.asarray(e.ids, "<u4").tobytes()) for p, e in zip(some, got))
+        self.update((w, b"".join([self._pieces[p] for p in parts])) for w, parts in cut.items())
 
 
 class Packer:
@@ -177,8 +199,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, id_col: str = "d
         found: list[tuple] = []
         for batch in batches:
             id_type = batch.column(0).type
-            for doc, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
-                for piece in packer.add(doc, words.ids(text) + end):
+            for doc, ids in zip(batch.column(0).to_pylist(), words.ids_of(as_bytes(batch.column(1)))):
+                for piece in packer.add(doc, ids + end):
                     found.append(piece if with_ids else (*piece[:7], None))
                 if len(found) >= 4096:
                     yield batch_of(found)
