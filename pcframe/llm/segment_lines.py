@@ -12,7 +12,7 @@ from pcframe.llm.common import cut
 EDITS, LEAST_CHARS = 1, 20
 #: Candidate lines whose ids (16 bytes each) are broadcast at most; more are joined by a shuffle.
 BROADCAST_LINES = 500_000
-_BLANK = r"[\x20\x09-\x0D]+"
+_BLANK = " \t\n\r\x0b\x0c"
 
 
 def _segment(line: Column, n: Column, l_: Column, i: int, edits: int, shift: Column | int = 0) -> Column:
@@ -26,19 +26,38 @@ def _segment(line: Column, n: Column, l_: Column, i: int, edits: int, shift: Col
     return F.when(ok, F.xxhash64(l_.cast("int"), F.lit(i), F.substr(line, start.cast("int"), length.cast("int"))))
 
 
+def _one_edit_keys(line: Column, n: Column, l_: Column) -> list[Column]:
+    """For one edit: each of the two segments together with either half of the other one, which
+    the edit must leave alone as well. What is left of the edit keeps its place, what is right of
+    it its distance to the end, so a key is a prefix and a suffix of the line. Lines that only
+    share a segment, as edited copies of long lines do, don't meet."""
+    q = F.floor(l_ / 2).cast("int")
+    h, g = F.floor((l_ - q) / 2).cast("int"), F.floor(q / 2).cast("int")
+    zero = F.lit(0)
+    return [
+        F.xxhash64(l_, F.lit(j), F.substr(line, F.lit(1), before), F.substr(line, n - behind + 1, behind))
+        for j, (before, behind) in enumerate(((q + h, zero), (q, l_ - q - h), (g, l_ - q), (zero, l_ - g)))
+    ]
+
+
 def index_keys(line: Column, edits: int) -> list[Column]:
     n = F.length(line)
+    if edits == 1:
+        return _one_edit_keys(line, n, n)
     return [_segment(line, n, n, i, edits) for i in range(1, edits + 2)]
 
 
-def probe_keys(line: Column, edits: int) -> list[Column]:
-    """Keys under which every line no longer than this one and within the edits has a segment:
-    for each length and segment, the starts that its left and right neighbours allow."""
+def probe_keys(line: Column, edits: int) -> list[tuple[int, Column]]:
+    """(characters less, key): keys under which every line shorter by so many and within the
+    edits has a segment: for each segment, the starts that its left and right neighbours allow.
+    Lines of equal length, both in the index, meet there if one edit is allowed."""
     n, out = F.length(line), []
+    if edits == 1:
+        return [(1, k) for k in _one_edit_keys(line, n, n - 1)]
     for less in range(edits + 1):
         for i in range(1, edits + 2):
             low, high = max(-(i - 1), less - (edits + 1 - i)), min(i - 1, less + edits + 1 - i)
-            out += [_segment(line, n, n - less, i, edits, s) for s in range(low, high + 1)]
+            out += [(less, _segment(line, n, n - less, i, edits, s)) for s in range(low, high + 1)]
     return out
 
 
@@ -47,26 +66,28 @@ def near_lines(lines: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CH
     line: k1, k2, ord (of its first place), near (an earlier line is within the edits)."""
     long_ = F.length("line") >= least_chars
     ix = [F.when(long_, c).alias(f"ix{j}") for j, c in enumerate(index_keys(F.col("line"), edits))]
-    pr = [F.when(long_, c).alias(f"pr{j}") for j, c in enumerate(probe_keys(F.col("line"), edits))]
+    probes = probe_keys(F.col("line"), edits)
+    pr = [F.when(long_, c).alias(f"pr{j}") for j, (_, c) in enumerate(probes)]
     names = [f"ix{j}" for j in range(len(ix))] + [f"pr{j}" for j in range(len(pr))]
     # equal lines have equal keys: min() carries them through a hash aggregate, texts stay behind
     distinct = cut(lines.select("k1", "k2", "ord", *ix, *pr).groupBy("k1", "k2").agg(F.min("ord").alias("ord"), *[F.min(c).alias(c) for c in names]), "lines")
 
-    def posted(kind: str, n: int, id_: str) -> DataFrame:
-        keys = F.explode(F.array_distinct(F.array_compact(F.array(*[f"{kind}{j}" for j in range(n)]))))
-        return distinct.select(F.struct("k1", "k2").alias(id_), keys.alias("key"))
-
-    pairs = posted("ix", len(ix), "a").join(posted("pr", len(pr), "b"), "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = cut(pairs, "line-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    side = wanted.select(F.col("id.k1").alias("k1"), F.col("id.k2").alias("k2"))
+    # k1 alone names a line here: lines that share it are all looked at again below
+    indexed = distinct.select(F.col("k1").alias("a"), F.explode(F.array_compact(F.array(*[f"ix{j}" for j in range(len(ix))]))).alias("key"))
+    tagged = [F.struct(F.col(f"pr{j}").alias("key"), F.lit(less > 0).alias("shorter")) for j, (less, _) in enumerate(probes)]
+    if edits == 1:
+        tagged += [F.struct(F.col(f"ix{j}").alias("key"), F.lit(False).alias("shorter")) for j in range(len(ix))]
+    probing = distinct.select(F.col("k1").alias("b"), F.explode(F.array(*tagged)).alias("p")).select("b", "p.key", "p.shorter").where("key is not null")
+    pairs = indexed.join(probing, (indexed["key"] == probing["key"]) & (F.col("shorter") | (F.col("a") < F.col("b"))))
+    pairs = cut(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("k1")).distinct()
     if wanted.count() <= BROADCAST_LINES:
-        side = F.broadcast(side)
-    texts = cut(lines.select("k1", "k2", "ord", "line").join(side, ["k1", "k2"]).groupBy("k1", "k2").agg(F.min("ord").alias("ord"), F.min("line").alias("line")), "candidate-lines")
-    of = lambda x: texts.select(F.struct("k1", "k2").alias(x), F.col("ord").alias(f"{x}_ord"), F.col("line").alias(f"{x}_line"))
+        wanted = F.broadcast(wanted)
+    texts = cut(lines.select("k1", "k2", "ord", "line").join(wanted, "k1").groupBy("k1", "k2").agg(F.min("ord").alias("ord"), F.min("line").alias("line")), "candidate-lines")
+    of = lambda x: texts.select(F.col("k1").alias(x), F.col("k2").alias(f"{x}2"), F.col("ord").alias(f"{x}_ord"), F.col("line").alias(f"{x}_line"))
     checked = pairs.join(of("a"), "a").join(of("b"), "b").where(F.levenshtein("a_line", "b_line", edits) >= 0)
-    later = checked.select(F.when(F.col("a_ord") > F.col("b_ord"), F.col("a")).otherwise(F.col("b")).alias("id")).distinct()
-    later = later.select(F.col("id.k1").alias("k1"), F.col("id.k2").alias("k2"), F.lit(True).alias("near"))
+    first_a = F.col("a_ord") > F.col("b_ord")
+    later = checked.select(F.when(first_a, F.col("a")).otherwise(F.col("b")).alias("k1"), F.when(first_a, F.col("a2")).otherwise(F.col("b2")).alias("k2")).distinct().withColumn("near", F.lit(True))
     return distinct.select("k1", "k2", "ord").join(later, ["k1", "k2"], "left").select("k1", "k2", "ord", F.coalesce("near", F.lit(False)).alias("near"))
 
 
@@ -81,8 +102,9 @@ def dedup(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS, i
     least_chars go only if equal.
 
     A line within the edits of another, cut into one segment more than edits, has a segment that
-    stands unchanged in the other, so equal segments find all pairs; levenshtein() with its
-    threshold (a banded matrix) confirms them on the whole lines.
+    stands unchanged in the other, so equal segments find all pairs (with one edit, segments
+    together with half of the other one do); levenshtein() with its threshold (a banded matrix)
+    confirms them on the whole lines.
 
     Null text: no lines, kept as it is. Rows of null id are left as they are. Repeated rows of an
     id with the same text count as one document. An empty table gives no rows.
@@ -91,7 +113,7 @@ def dedup(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS, i
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text"), key.alias("__key"))
     slim = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text"), key.alias("__key")).where(F.col("__id").isNotNull() & F.col("__text").isNotNull())
     lines = slim.select("__id", "__key", F.posexplode(F.split("__text", "\n")).alias("pos", "raw"))
-    lines = lines.withColumn("line", F.regexp_replace("raw", rf"^{_BLANK}|{_BLANK}\z", "")).where("line <> ''")
+    lines = lines.withColumn("line", F.btrim("raw", F.lit(_BLANK))).where("line <> ''")
     place = (F.col("__id").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(11,0)") + F.col("pos")).cast("decimal(38,0)")
     lines = lines.select("__id", "__key", "pos", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"), place.alias("ord"), "line")
     found = cut(near_lines(lines, edits, least_chars), "distinct-lines").withColumnRenamed("ord", "first")
