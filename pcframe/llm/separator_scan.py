@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pcframe.llm.common import as_bytes, attempt_name, cut, fresh_dir, open_fs, small_batches
-from pcframe.llm.sum_of_squares import WordIds
+from pcframe.llm.common import attempt_name, cut, fresh_dir, open_fs
+from pcframe.llm.token_ids import TokenIds
 
 #: The vocabulary's own end-of-document id; text that spells it is plain text to the writer.
 END_OF_TEXT = 49_407
@@ -27,12 +27,12 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, top = open_fs(folder)
         fs.create_dir(top, recursive=True)
-        words, end = WordIds.shared(tokenizer, True), np.asarray([END_OF_TEXT], "<u2").tobytes()
+        tokens, end = TokenIds.shared(tokenizer, True), np.asarray([END_OF_TEXT], "<u2").tobytes()
         name, out, first, at = attempt_name("tokens") + ".bin", None, 0, 0
         for b in batches:
             out = out or fs.open_output_stream(f"{top}/{name}", compression=None)
-            for found in words.ids_of(as_bytes(b.column(1))):
-                ids = np.frombuffer(found, "<u4").astype("<u2").tobytes() + end
+            for found in tokens.of(b.column(1)):
+                ids = found.astype("<u2").tobytes() + end
                 out.write(ids)
                 at += len(ids) // 2
             ids = pa.ListArray.from_arrays(pa.array([0, len(b)], pa.int32()), b.column(0))
@@ -91,7 +91,6 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     table gives no rows; other columns are left out. A document may be longer than any block.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     folder = fresh_dir(spark, "tokens")
     lots = cut(write_tokens(docs, tokenizer, folder, id_col, text_col), "lots")
     files = lots.groupBy("file").agg(F.max("written").alias("n_tokens"))

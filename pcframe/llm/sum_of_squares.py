@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -13,86 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pcframe.llm.common import as_bytes, small_batches
+from pcframe.llm.token_ids import TokenIds
 
 WINDOW = 2048
 #: Added after each document's ids.
 END_ID = 1
 
 
-class WordIds(dict):
-    """White-space delimited word (bytes) -> its ids as little-endian uint32 bytes.
-
-    The vocabulary's pattern never joins characters across white space, nor letters, digits and
-    other characters of ASCII (but for the seven contractions): a text's ids are those of its
-    words in turn, and an ASCII word's those of its lower-cased pieces. Words and pieces recur;
-    only new pieces go through the tokenizer. Both memories are bounded. One is kept for each
-    worker process (shared()).
-    """
-
-    LIMIT, PIECES, LOT_BYTES = 1_200_000, 1_000_000, 1_000_000
-    _ASCII = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-    _SIMPLE = re.compile(rb"[a-z]+|[0-9]")
-    _TAIL = re.compile(r"(.*?)([.,;:!?]+)", re.S)
-
-    def __init__(self, path: str, plain_specials: bool = False):
-        from tokenizers import Tokenizer
-
-        super().__init__()
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks of an executor are its threads
-        self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = plain_specials
-        self._tokenizer.no_truncation()
-        self._tokenizer.no_padding()
-        # lower-case letters and digits of ASCII are themselves to the vocabulary's
-        # normaliser and byte alphabet: its model alone gives their ids
-        self._model = Tokenizer(self._tokenizer.model)
-        self._pieces: dict[bytes, bytes] = {}
-
-    @staticmethod
-    @functools.lru_cache(maxsize=2)
-    def shared(path: str, plain_specials: bool = False) -> WordIds:
-        return WordIds(path, plain_specials)
-
-    def _split(self, word: bytes) -> list[bytes]:
-        if word.isascii():
-            return [word] if b"<|" in word else self._ASCII.findall(word.lower())
-        m = self._TAIL.fullmatch(word.decode("utf-8", "replace"))
-        return [m[1].encode(), m[2].encode()] if m and m[1][-1:].isalpha() else [word]
-
-    def ids(self, text: bytes) -> bytes:
-        return next(self.ids_of([text]))
-
-    def ids_of(self, texts: list[bytes]) -> Iterator[bytes]:
-        """Of each text in turn; some LOT_BYTES of texts learn their new words together."""
-        lot: list[tuple[list[bytes], list[bytes | None]]] = []
-        size = 0
-        for i, text in enumerate(texts):
-            words = text.split()
-            lot.append((words, list(map(self.get, words))))
-            size += len(text)
-            if size >= self.LOT_BYTES or i == len(texts) - 1:
-                new = {w for words, found in lot if None in found for w, ids in zip(words, found) if ids is None}
-                if len(self) + len(new) > self.LIMIT:
-                    self.clear()  # what the lot has found it keeps
-                self._learn(new)
-                for words, found in lot:
-                    yield b"".join([self[w] if ids is None else ids for w, ids in zip(words, found)] if None in found else found)
-                lot, size = [], 0
-
-    def _learn(self, new: set[bytes]) -> None:
-        if len(self._pieces) >= self.PIECES:
-            self._pieces.clear()
-        cut = {w: self._split(w) for w in new}
-        if fresh := list({p for parts in cut.values() for p in parts if p not in self._pieces}):
-            simple = [p for p in fresh if self._SIMPLE.fullmatch(p)]
-            other = [p for p in fresh if not self._SIMPLE.fullmatch(p)]
-            for tokenizer, some in ((self._model, simple), (self._tokenizer, other)):
-                got = tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in some], add_special_tokens=False)
-                self._pieces.update((p, np.asarray(e.ids, "<u4").tobytes()) for p, e in zip(some, got))
-        self.update((w, b"".join([self._pieces[p] for p in parts])) for w, parts in cut.items())
-
-
 class Packer:
     """Sum-of-squares packing, online.
 
@@ -101,14 +25,16 @@ class Packer:
     Moving a window from h to h+s changes the sum by 2*(levels[h+s] - levels[h]) + 2, with
     what touches 0 or the full window left out; all levels are compared at once. Whole windows
     of a longer document are cut off first. What is still open at the end is cut to fill
-    windows in turn, so that at most the last one needs padding.
+    windows in turn, so that at most the last one needs padding. Some windows are always open,
+    about as many however much is packed, so the share that ends this way (left_over counts its
+    tokens) falls with the size of what one packer gets: give it partitions of 100 MB or more.
     """
 
     def __init__(self, window: int = WINDOW):
         self.window = window
         self.levels = np.zeros(window + 1, np.int64)
         self.open: dict[int, list[list]] = {}
-        self.next_id = 0
+        self.next_id = self.left_over = 0
 
     def _best(self, size: int) -> int:
         w, n = self.window, self.levels
@@ -150,6 +76,7 @@ class Packer:
 
     def close(self) -> Iterator[tuple]:
         room, pieces = self.window, []
+        self.left_over = sum(h * len(bins) for h, bins in self.open.items())
         for h in sorted(self.open, reverse=True):
             for doc, start, ids, total in (p for bin_ in self.open[h] for p in bin_):
                 while ids:
@@ -179,7 +106,6 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, id_col: str = "d
     repeated rows are packed each. An empty table gives no rows; other columns are left out.
     A document longer than the window is cut at multiples of it, whatever its length.
     """
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col), F.col(text_col))
     ids_of = rows.schema[0]
     ddl = f"`{ids_of.name}` {ids_of.dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
@@ -188,7 +114,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, id_col: str = "d
         from pyspark import TaskContext
 
         first = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
-        words, packer, end = WordIds.shared(tokenizer), Packer(window), np.asarray([END_ID], "<u4").tobytes()
+        tokens, packer, end = TokenIds.shared(tokenizer), Packer(window), np.asarray([END_ID], "<u4").tobytes()
         id_type = None
 
         def batch_of(found: list[tuple]) -> pa.RecordBatch:
@@ -199,8 +125,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, id_col: str = "d
         found: list[tuple] = []
         for batch in batches:
             id_type = batch.column(0).type
-            for doc, ids in zip(batch.column(0).to_pylist(), words.ids_of(as_bytes(batch.column(1)))):
-                for piece in packer.add(doc, ids + end):
+            for doc, ids in zip(batch.column(0).to_pylist(), tokens.of(batch.column(1))):
+                for piece in packer.add(doc, ids.astype("<u4").tobytes() + end):
                     found.append(piece if with_ids else (*piece[:7], None))
                 if len(found) >= 4096:
                     yield batch_of(found)
