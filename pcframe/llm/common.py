@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import re
 import tempfile
@@ -16,8 +17,9 @@ from pyspark.sql import functions as F
 
 #: Java pattern of a word: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows that go to a Python worker at once; texts can be long, so far fewer than Spark's 10,000.
-BATCH_ROWS = 512
+#: Bytes of rows that go to a Python worker at once (a longer row goes alone); Spark's own bound
+#: is 64 MB, which each task would hold several times.
+BATCH_BYTES, _SPARKS_BYTES = "4000000b", 67_108_864
 MASK64 = (1 << 64) - 1
 
 
@@ -26,8 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound what Arrow hands to Python at once, by rows, as texts may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Bound what Arrow hands to Python at once, by bytes, as texts may be long. The option is
+    read when a plan runs, so it stays set; a session's own value is left as it is."""
+    option = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(option, "1").rstrip("b") == str(_SPARKS_BYTES):
+        spark.conf.set(option, BATCH_BYTES)
 
 
 def native_words(text: Column) -> Column:
@@ -36,9 +41,12 @@ def native_words(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a temporary one,
+    if driver and executors are one process; ValueError on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", "")
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="pcframe-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -69,7 +77,23 @@ def cut(df: DataFrame, what: str, partition_by: list[str] | None = None) -> Data
     path = fresh_dir(spark, what)
     w = df.write.option("compression", "zstd")
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of cut() that nothing reads any more."""
+    for df in tables:
+        _remove(df.sparkSession, df.cut_path)
+
+
+def fresh_name(df: DataFrame, stem: str) -> str:
+    """A column name that df doesn't have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -85,24 +109,6 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [b or b"" for b in column.cast(kind).to_pylist()]
 
 
-class WordHashes(dict):
-    """Word (bytes) -> 16 bytes of a keyed 128-bit hash, remembered up to a bound."""
-
-    LIMIT = 400_000
-
-    def __missing__(self, word: bytes) -> bytes:
-        import xxhash
-
-        if len(self) >= self.LIMIT:
-            self.clear()
-        h = self[word] = xxhash.xxh3_128_digest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        """Two 64-bit lanes a word: shape (n, 2)."""
-        return np.frombuffer(b"".join(map(self.__getitem__, words)), dtype="<u8").reshape(-1, 2)
-
-
 def _odd(seed: int, n: int) -> list[int]:
     out, x = [], seed
     for _ in range(n):
@@ -135,15 +141,14 @@ def window_hashes(words: np.ndarray, k: int, lane: int) -> np.ndarray:
     return mix64(out)
 
 
-def shingle_set(words: np.ndarray, k: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's k-word shingles; a shorter text's words are one."""
-    if not len(words):
-        return np.empty(0, np.uint64)
-    return np.unique(window_hashes(words, min(k, len(words)), 0) + np.uint64(min(k, len(words)) < k) * np.uint64(len(words)))
-
-
-def batch_of(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+def release() -> None:
+    """Give memory that is free back to the system, at a task's end: workers are used again, and
+    what they keep counts beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU C library
+        pass
 
 
 def attempt_name(stem: str) -> str:

@@ -3,28 +3,30 @@ that the sketch estimates as repeated."""
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pcframe.llm.common import MASK64, WordHashes, as_bytes, fresh_dir, mix64, open_fs, small_batches, window_hashes
+from pcframe.llm import words as W
+from pcframe.llm.common import MASK64, fresh_dir, mix64, open_fs, release, small_batches
 
 WINDOW = 13
-#: Rows of the sketch, and counters a row for each window of the corpus. Counters saturate at
-#: two, all that the second pass asks for; merged, each is a bit. The width follows the corpus
-#: up to MAX_WIDTH; past that the estimates are coarser and the exact pass groups more windows.
-DEPTH, LOAD, MAX_WIDTH = 2, 3, 1 << 31
-#: Counters of one shard of a row, windows of one partition sketch, partition sketches that are
-#: merged at once, windows that a task groups before it sends them on (each takes some 200 bytes
-#: then), windows of a bucket of the exact pass, bytes of text of a final shard.
-SHARD, FLUSH, FAN_IN, LOT, BUCKET, TEXT_BYTES = 1 << 22, 8_000_000, 256, 1_000_000, 2_000_000, 12_000_000
+#: Rows of the sketch, and counters a row for each window of the corpus, whatever its size.
+#: Counters saturate at two, all that the second pass asks for.
+DEPTH, LOAD = 2, 3
+#: Counters of one range of a row, which one task merges: at least, at most, and ranges a row
+#: that are aimed at in between (so that what a lot has for a range stays worth a row).
+LEAST_RANGE, MOST_RANGE, RANGES = 1 << 22, 1 << 28, 4_096
+#: Windows of a lot's sketch, flagged windows that a task groups before it sends them on, windows
+#: of a bucket of the exact pass, folders that answers are filed in.
+LOT, FLAGGED, BUCKET, FOLDERS = 1_000_000, 500_000, 1_000_000, 4_096
+#: Bytes of text whose windows are hashed at once.
+TEXT_BYTES = 2_000_000
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -49,108 +51,163 @@ def _gaps(sorted_values: np.ndarray) -> np.ndarray:
 
 
 def _cells(h: np.ndarray, row: int, width: int) -> np.ndarray:
-    """The counter of each window hash in one row."""
-    return (mix64(h + np.uint64((row + 1) * 0x9E3779B97F4A7C15 & MASK64)) >> np.uint64(32)) * np.uint64(width) >> np.uint64(32)
+    """The counter of each window hash in one row of any width: the upper half of the product
+    of a 64-bit hash and the width."""
+    x, w = mix64(h + np.uint64((row + 1) * 0x9E3779B97F4A7C15 & MASK64)), np.uint64(width)
+    low, half = np.uint64(0xFFFFFFFF), np.uint64(32)
+    if width < 1 << 32:
+        return ((x & low) * w >> half) + (x >> half) * w >> half
+    a = (x & low) * (w & low) >> half
+    b, c = (x >> half) * (w & low), (x & low) * (w >> half)
+    mid = a + (b & low) + (c & low)
+    return (x >> half) * (w >> half) + (b >> half) + (c >> half) + (mid >> half)
+
+
+class _Lot:
+    """Texts of a partition, in order, of LOT windows or a little more: the unit of its sketches."""
+
+    def __init__(self):
+        self.n, self.docs, self.rows, self.counts, self.h0, self.h1 = 0, [], [], [], [], []
+
+    def arrays(self) -> tuple[np.ndarray, ...]:
+        return tuple(np.concatenate(x) for x in (self.docs, self.rows, self.counts, self.h0, self.h1))
+
+
+def _lots(batches: Iterator[pa.RecordBatch], k: int, both: bool, size: int) -> Iterator[_Lot]:
+    """The lots of a partition of (doc_id, text); the same in every pass over the same rows. both:
+    with the second lane of the windows' hashes. Rows of null id have a number, but no windows."""
+    lot, row = _Lot(), 0
+    for batch in batches:
+        known = np.asarray(batch.column(0).is_valid())
+        docs = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        for first, texts in W.lots(batch.column(1), TEXT_BYTES):
+            words = W.split(texts)
+            lanes = W.hashes(words.distinct)
+            here = slice(first, first + len(texts))
+            h0, counts = W.windows(words, lanes, k, 0)
+            h1 = W.windows(words, lanes, k, 1)[0] if both else h0[:0]
+            if not known[here].all():
+                own = np.repeat(known[here], counts)
+                h0, h1, counts = h0[own], h1[own] if both else h1, counts * known[here]
+            for x, v in ((lot.docs, docs[here]), (lot.rows, row + np.arange(len(texts))), (lot.counts, counts), (lot.h0, h0), (lot.h1, h1)):
+                x.append(v)
+            lot.n, row = lot.n + len(h0), row + len(texts)
+            if lot.n >= size:
+                yield lot
+                lot = _Lot()
+    if lot.n:
+        yield lot
+
+
+def _ranges(cells: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted cells: the ranges of counters that have any, and the edges between them."""
+    at = cells // np.uint64(size)
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(cells) else np.empty(0, np.int64)
+    return at[first].astype(np.int64), np.append(first, len(cells))
+
+
+def _distinct(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values of sorted cells, and how often each stands there."""
+    last = np.flatnonzero(np.concatenate([cells[1:] != cells[:-1], [True]]))
+    return cells[last], np.diff(last, prepend=-1)
+
+
+def _partition() -> int:
+    from pyspark import TaskContext
+
+    c = TaskContext.get()
+    return c.partitionId() if c else 0
+
+
+def _sketches(width: int, size: int, k: int):
+    """The sketch of each lot, sparse and cut into ranges of counters: those seen, and those of
+    them seen twice or more."""
 
-
-def _partition_sketches(width: int, k: int, fan_out: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, n, part = WordHashes(), [], 0, 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            h = np.concatenate(held)
-            held.clear()
+        pid = _partition()
+        for n, lot in enumerate(_lots(batches, k, False, LOT)):
+            h = np.concatenate(lot.h0)
             for row in range(DEPTH):
-                cells = np.sort(_cells(h, row, width))
-                last = np.concatenate([cells[1:] != cells[:-1], [True]])
-                at = np.flatnonzero(last)
-                many = np.diff(at, prepend=-1) > 1
-                values = cells[at]
-                edges = np.searchsorted(values, np.arange(0, width + SHARD, SHARD))
-                rows: dict[str, list] = {"g": [], "salt": [], "blob": []}
-                for s, (lo, hi) in enumerate(zip(edges[:-1], edges[1:])):
-                    if hi > lo:
-                        local = values[lo:hi] - np.uint64(s * SHARD)
-                        rows["g"].append(row * (1 << 32) + s)
-                        rows["salt"].append((part + int(values[lo])) % fan_out)
-                        rows["blob"].append(_pack(_gaps(local), _gaps(local[many[lo:hi]])))
-                yield pa.RecordBatch.from_arrays([pa.array(rows["g"], pa.int64()), pa.array(rows["salt"], pa.int32()), pa.array(rows["blob"], pa.binary())], ["g", "salt", "blob"])
-
-        for batch in batches:
-            for text in as_bytes(batch.column(0)):
-                w = hashes.of(text.split())
-                held.append(window_hashes(w, k, 0))
-                n += len(held[-1])
-                if n >= FLUSH:
-                    yield from flush()
-                    n, part = 0, part + 1
-        if n:
-            yield from flush()
+                cells, count = _distinct(np.sort(_cells(h, row, width)))
+                found, edges = _ranges(cells, size)
+                blobs = []
+                for r, lo, hi in zip(found.tolist(), edges[:-1], edges[1:]):
+                    local = cells[lo:hi] - np.uint64(r * size)
+                    blobs.append(_pack(_gaps(local), _gaps(local[count[lo:hi] > 1])))
+                m = len(found)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, row, np.int32)), pa.array(found), pa.array(np.full(m, pid, np.int64)), pa.array(np.full(m, n, np.int32)), pa.array(blobs, pa.binary())], ["row", "r", "pid", "lot", "blob"])
+        release()
 
     return run
 
 
-def _merge(final: bool):
-    """Sums partition sketches of one shard: counters seen, and counters seen twice or more."""
+def _answers(size: int):
+    """Sums the lots' sketches of one range, and answers each lot which of its counters are two or
+    more: a bit for each that it has."""
 
     def run(group: pa.Table) -> pa.Table:
-        count = np.zeros(SHARD, np.uint8)
-        for blob in group.column("blob"):
+        count, compress = np.zeros(size, np.uint8), zstandard.ZstdCompressor(level=1)
+        blobs = group.column("blob")
+        for blob in blobs:
             seen, many = (np.cumsum(a, dtype=np.int64) for a in _unpack(blob.as_py(), 2))
             count[seen] = np.minimum(count[seen], 1) + 1
             count[many] = 2
-        g = group.column("g")[:1].cast(pa.int64()).combine_chunks()
-        if final:
-            blob = zstandard.ZstdCompressor(level=1).compress(np.packbits(count >= 2, bitorder="little").tobytes())
-        else:
-            blob = _pack(_gaps(np.flatnonzero(count)), _gaps(np.flatnonzero(count >= 2)))
-        return pa.table({"g": g, "salt": pa.array([0], pa.int32()), "blob": pa.array([blob], pa.binary())})
+        out = []
+        for blob in blobs:
+            seen = np.cumsum(_unpack(blob.as_py(), 2)[0], dtype=np.int64)
+            out.append(compress.compress(np.int64(len(seen)).tobytes() + np.packbits(count[seen] > 1).tobytes()))
+        return pa.table({"pid": group.column("pid"), "lot": group.column("lot"), "row": group.column("row"), "r": group.column("r"), "blob": pa.array(out, pa.binary())})
 
     return run
 
 
-@functools.lru_cache(maxsize=1)
-def _bits(path: str, width: int) -> list[np.ndarray]:
-    """The merged sketch, a bit a counter, as a worker holds it: DEPTH * width / 8 bytes."""
-    rows = [np.zeros(-(-width // SHARD) * SHARD // 8, np.uint8) for _ in range(DEPTH)]
-    fs, top = open_fs(path)
-    for info in fs.get_file_info(pafs.FileSelector(top)):
-        if info.path.endswith(".parquet"):
-            for batch in pq.ParquetFile(fs.open_input_file(info.path)).iter_batches(batch_size=64, columns=["g", "blob"]):
-                for g, blob in zip(batch.column("g").to_pylist(), batch.column("blob").to_pylist()):
-                    part = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-                    s = g & 0xFFFFFFFF
-                    rows[g >> 32][s * SHARD // 8 : s * SHARD // 8 + len(part)] = part
-    return rows
+def _file(df: DataFrame, path: str) -> None:
+    """Write rows of a partition (pid) so that its task finds them: in folder pid % FOLDERS."""
+    folder = F.pmod("pid", F.lit(FOLDERS)).alias("folder")
+    df.select(folder, *df.columns).repartition("pid").sortWithinPartitions("folder", "pid").write.option("compression", "none").partitionBy("folder").parquet(path)
 
 
-def _runs(doc: np.ndarray, key: np.ndarray, pos: np.ndarray) -> list[np.ndarray]:
-    """(doc, key, pos) sorted by document and position, as document runs and position gaps."""
-    first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])])) if len(doc) else np.empty(0, np.int64)
+def _own(path: str, pid: int, folders: int) -> Iterator[dict]:
+    """The rows filed for a partition."""
+    import pyarrow.fs as pafs
+
+    fs, top = open_fs(f"{path}/folder={pid % folders}")
+    for info in fs.get_file_info(pafs.FileSelector(top, allow_not_found=True)):
+        if info.path.endswith(".parquet"):
+            with fs.open_input_file(info.path) as f:
+                file = pq.ParquetFile(f)
+                at = file.schema_arrow.get_field_index("pid")
+                for g in range(file.num_row_groups):
+                    s = file.metadata.row_group(g).column(at).statistics
+                    if s is None or s.min <= pid <= s.max:
+                        for batch in file.iter_batches(batch_size=256, row_groups=[g]):
+                            yield from (x for x in batch.to_pylist() if x["pid"] == pid)
+
+
+def _runs(doc: np.ndarray, row: np.ndarray, pos: np.ndarray) -> list[np.ndarray]:
+    """(doc, row, pos), rows together and positions rising, as runs of a row and gaps."""
+    first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.empty(0, np.int64)
     gaps = np.diff(pos.astype(np.int64), prepend=0)
     gaps[first] = pos[first]
-    return [doc[first].astype(np.int64), key[first].astype(np.int64), np.diff(np.append(first, len(doc))).astype(np.uint32), gaps.astype(np.uint32)]
+    return [doc[first].astype(np.int64), row[first].astype(np.int64), np.diff(np.append(first, len(doc))).astype(np.uint32), gaps.astype(np.uint32)]
 
 
-def _unruns(doc: np.ndarray, key: np.ndarray, n: np.ndarray, gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _unruns(doc: np.ndarray, row: np.ndarray, n: np.ndarray, gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = n.astype(np.int64)
     total = np.cumsum(gaps.astype(np.int64))
     first = np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64) if len(n) else np.empty(0, np.int64)
     base = np.repeat(total[first] - gaps[first].astype(np.int64), n) if len(n) else total
-    return np.repeat(doc.view(np.int64), n), np.repeat(key.view(np.int64), n), total - base
+    return np.repeat(doc.view(np.int64), n), np.repeat(row.view(np.int64), n), total - base
 
 
-def _shard_of(doc: np.ndarray, key: np.ndarray, shards: int) -> np.ndarray:
-    return (mix64(doc.astype(np.int64).view(np.uint64) ^ mix64(key.astype(np.int64).view(np.uint64))) % np.uint64(shards)).astype(np.int64)
-
-
-def _by_shard(doc: np.ndarray, key: np.ndarray, pos: np.ndarray, shards: int) -> Iterator[tuple[int, bytes]]:
-    at = _shard_of(doc, key, shards)
-    order = np.lexsort((pos, key, doc, at))
-    doc, key, pos, at = doc[order], key[order], pos[order], at[order]
+def _by_partition(doc: np.ndarray, row: np.ndarray, pos: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """row: the partition's number above 40 bits, the row's below."""
+    order = np.lexsort((pos, row))
+    doc, row, pos = doc[order], row[order], pos[order]
+    at = row >> 40
     edges = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1], [True]])) if len(at) else []
     for lo, hi in zip(edges[:-1], edges[1:]):
-        yield int(at[lo]), _pack(*_runs(doc[lo:hi], key[lo:hi], pos[lo:hi]))
+        yield int(at[lo]), _pack(*_runs(doc[lo:hi], row[lo:hi], pos[lo:hi]))
 
 
 def _later(h0: np.ndarray, h1: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -164,97 +221,119 @@ def _later(h0: np.ndarray, h1: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
-def _flagged(path: str, width: int, k: int, buckets: int, shards: int):
+def _estimated_repeats(h: np.ndarray, answers: dict[tuple[int, int], bytes], width: int, size: int) -> np.ndarray:
+    """Which windows of a lot the merged sketch estimates at two or more. Without an answer for
+    exactly the counters that the lot has, all of them: no window is lost."""
+    hit = np.ones(len(h), bool)
+    for row in range(DEPTH):
+        cells = _cells(h, row, width)
+        order = np.argsort(cells)
+        at = cells[order]
+        new = np.concatenate([[True], at[1:] != at[:-1]])
+        distinct = at[new]
+        found, edges = _ranges(distinct, size)
+        bits = np.ones(len(distinct), bool)
+        for r, lo, hi in zip(found.tolist(), edges[:-1], edges[1:]):
+            raw = answers.get((row, r))
+            if raw is not None and int(np.frombuffer(raw, np.int64, 1)[0]) == hi - lo:
+                bits[lo:hi] = np.unpackbits(np.frombuffer(raw, np.uint8, offset=8), count=int(hi - lo)).astype(bool)
+        own = np.empty(len(h), bool)
+        own[order] = bits[np.cumsum(new) - 1]
+        hit &= own
+    return hit
+
+
+def _flagged(path: str, width: int, size: int, k: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, n = WordHashes(), [], 0
+        pid, held, n = _partition(), [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            doc, key, pos, h0, h1 = (np.concatenate(c) for c in zip(*held))
+            doc, row, pos, h0, h1 = (np.concatenate(c) for c in zip(*held))
             held.clear()
             later = _later(h0, h1, doc)  # known here: of a window, only its least document in this lot is open
             g, kind, blobs = [], [], []
-            for s, blob in _by_shard(doc[later], key[later], pos[later], shards):
-                g.append(buckets + s)
+            for _, blob in _by_partition(doc[later], row[later], pos[later]):
+                g.append(buckets + pid)
                 kind.append(1)
                 blobs.append(blob)
-            doc, key, pos, h0, h1 = (c[~later] for c in (doc, key, pos, h0, h1))
+            doc, row, pos, h0, h1 = (c[~later] for c in (doc, row, pos, h0, h1))
             at = (mix64(h0 ^ np.uint64(0xB10C)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(at, kind="stable")  # documents stay in runs
-            doc, key, pos, h0, h1, at = (c[order] for c in (doc, key, pos, h0, h1, at))
+            doc, row, pos, h0, h1, at = (c[order] for c in (doc, row, pos, h0, h1, at))
             edges = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1], [True]])) if len(at) else []
             for lo, hi in zip(edges[:-1], edges[1:]):
                 g.append(int(at[lo]))
                 kind.append(0)
-                blobs.append(_pack(*_runs(doc[lo:hi], key[lo:hi], pos[lo:hi]), h0[lo:hi], h1[lo:hi].astype(np.uint32)))
+                blobs.append(_pack(*_runs(doc[lo:hi], row[lo:hi], pos[lo:hi]), h0[lo:hi], h1[lo:hi]))
             yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(kind, pa.int32()), pa.array(blobs, pa.binary())], ["g", "kind", "blob"])
 
-        bits = _bits(path, width)
-        for batch in batches:
-            for doc, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2))):
-                words = hashes.of(text.split())
-                h = window_hashes(words, k, 0)
-                hit = np.ones(len(h), bool)
-                for row in range(DEPTH):
-                    c = _cells(h, row, width).astype(np.int64)
-                    hit &= (bits[row][c >> 3] >> (c & 7).astype(np.uint8)) & 1 == 1
-                pos = np.flatnonzero(hit)
-                if len(pos):
-                    held.append((np.full(len(pos), doc, np.int64), np.full(len(pos), key, np.int64), pos, h[pos], window_hashes(words, k, 1)[pos] & np.uint64(0xFFFFFFFF)))
-                    n += len(pos)
-                if n >= LOT:
-                    yield from flush()
-                    n = 0
+        answers: dict[int, dict[tuple[int, int], bytes]] = {}
+        for x in _own(path, pid, FOLDERS):
+            answers.setdefault(x["lot"], {})[x["row"], x["r"]] = x["blob"]
+        for number, lot in enumerate(_lots(batches, k, True, LOT)):
+            docs, rows, counts, h0, h1 = lot.arrays()
+            raw = {key: zstandard.ZstdDecompressor().decompress(b) for key, b in answers.pop(number, {}).items()}
+            at = np.flatnonzero(_estimated_repeats(h0, raw, width, size))
+            ends = np.cumsum(counts)
+            text = np.searchsorted(ends, at, "right")
+            held.append((docs[text], (pid << 40) + rows[text], at - (ends - counts)[text], h0[at], h1[at]))
+            n += len(at)
+            if n >= FLAGGED:
+                yield from flush()
+                n = 0
         if n:
             yield from flush()
+        release()
 
     return run
 
 
-def _exact(shards: int, buckets: int):
-    """A bucket's windows, grouped by 96 bits of their word sequence; what is known passes through."""
+def _exact(group: pa.Table) -> pa.Table:
+    """A bucket's windows, grouped by 128 bits of their word sequence; what is known passes through."""
+    if group.column("kind")[0].as_py() == 1:
+        pids = [int(_unpack(b.as_py(), 4)[1].view(np.int64)[0]) >> 40 for b in group.column("blob")]
+        return pa.table({"pid": pa.array(pids, pa.int64()), "blob": group.column("blob").combine_chunks()})
+    parts = []
+    for blob in group.column("blob"):
+        *runs, h0, h1 = _unpack(blob.as_py(), 6)
+        parts.append((*_unruns(*runs), h0, h1))
+    doc, row, pos, h0, h1 = (np.concatenate(c) for c in zip(*parts))
+    later = _later(h0, h1, doc)
+    found = list(_by_partition(doc[later], row[later], pos[later]))
+    return pa.table({"pid": pa.array([p for p, _ in found], pa.int64()), "blob": pa.array([b for _, b in found], pa.binary())})
 
-    def run(group: pa.Table) -> pa.Table:
-        if group.column("kind")[0].as_py() == 1:
-            return pa.table({"s": pa.array(np.asarray(group.column("g")) - buckets, pa.int64()), "blob": group.column("blob").combine_chunks()})
-        parts = []
-        for blob in group.column("blob"):
-            *runs, h0, h1 = _unpack(blob.as_py(), 6)
-            parts.append((*_unruns(*runs), h0, h1))
-        doc, key, pos, h0, h1 = (np.concatenate(c) for c in zip(*parts))
-        later = _later(h0, h1, doc)
-        found = list(_by_shard(doc[later], key[later], pos[later], shards))
-        return pa.table({"s": pa.array([s for s, _ in found], pa.int64()), "blob": pa.array([b for _, b in found], pa.binary())})
-
-    return run
 
-
-def _remove(k: int):
-    def run(texts: pa.Table, removals: pa.Table) -> pa.Table:
-        found: dict[tuple[int, int], list[np.ndarray]] = {}
-        for blob in removals.column("blob"):
-            doc, key, n, gaps = _unpack(blob.as_py(), 4)
-            d, x, pos = _unruns(doc, key, n, gaps)
-            ends = np.cumsum(n.astype(np.int64))
-            for i, end in enumerate(ends):
-                found.setdefault((int(doc.view(np.int64)[i]), int(key.view(np.int64)[i])), []).append(pos[end - int(n[i]) : end])
-        ids, keys = texts.column("doc_id").to_pylist(), texts.column("key").to_pylist()
-        total, gone, kept = [], [], []
-        for doc, key, text in zip(ids, keys, as_bytes(texts.column("text").combine_chunks())):
-            words = text.split()
-            total.append(len(words))
-            starts = found.get((doc, key))
-            if starts is None:
-                gone.append(0)
-                kept.append(b" ".join(words))
-                continue
-            edge = np.zeros(len(words) + 1, np.int64)
-            starts = np.unique(np.concatenate(starts))
-            np.add.at(edge, starts, 1)
-            np.add.at(edge, starts + k, -1)
-            stay = np.cumsum(edge[:-1]) == 0
-            gone.append(int(len(words) - stay.sum()))
-            kept.append(b" ".join([words[i] for i in np.flatnonzero(stay)]))
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(total, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept_text": pa.array(kept, pa.binary()).cast(pa.string())})
+def _remove(path: str, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pid, row, found = _partition(), 0, {}
+        for x in _own(path, pid, FOLDERS):
+            doc, at, n, gaps = _unpack(x["blob"], 4)
+            pos, ends = _unruns(doc, at, n, gaps)[2], np.cumsum(n.astype(np.int64))
+            for d, r, end, m in zip(doc.view(np.int64).tolist(), at.view(np.int64).tolist(), ends.tolist(), n.tolist()):
+                found.setdefault((d, r & (1 << 40) - 1), []).append(pos[end - m : end])
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            for first, texts in W.lots(batch.column(1), TEXT_BYTES):
+                total, gone, kept = [], [], []
+                for i, text in enumerate(texts.to_pylist()):
+                    words = text.encode().split()
+                    starts = found.pop((ids[first + i], row), None)
+                    row += 1
+                    total.append(len(words))
+                    if starts is None:
+                        gone.append(0)
+                        kept.append(b" ".join(words))
+                        continue
+                    edge = np.zeros(len(words) + 1, np.int64)
+                    starts = np.unique(np.concatenate(starts))
+                    np.add.at(edge, starts, 1)
+                    np.add.at(edge, starts + k, -1)
+                    stay = np.cumsum(edge[:-1]) == 0
+                    gone.append(int(len(words) - stay.sum()))
+                    kept.append(b" ".join([words[j] for j in np.flatnonzero(stay)]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
+        if found:
+            raise ValueError("the documents' partitions are not those of the passes before: give dedup() a table")
 
     return run
 
@@ -263,40 +342,38 @@ def dedup(docs: DataFrame, k: int = WINDOW, id_col: str = "doc_id", text_col: st
     """doc_id, n_words, n_removed, kept_text (the kept words, joined by one space).
 
     A word goes if a window of k consecutive words that covers it also starts, as the same word
-    sequence, in a document with a smaller id; windows are judged on the input. Pass one builds
-    count-min sketches of each partition's windows, sparse and cut into shards, and sums them
-    shard by shard. Pass two finds the windows whose estimate is two or more in the merged
-    sketch, which no repeated window can escape; of each window, a lot of documents sends on
-    only its least document, so a passage that everyone shares stays small; buckets group the
-    rest exactly (by 96 hash bits). Pass three takes the words away.
+    sequence, in a document with a smaller id; windows are judged on the input. Texts stay where
+    they are read; the passes meet in the shared folder, by the number of the partition:
+
+    1. Each lot of a partition's windows makes a count-min sketch, sparse and cut into ranges of
+    counters. 2. A range is summed over all lots, and each lot is answered, a bit a counter, which
+    of its counters are two or more. So the sketch has LOAD counters a window at any size, and no
+    task holds more of it than a range. 3. Windows whose estimate is two or more, which no repeated
+    window can escape, are grouped exactly in buckets; of a window, a lot sends on only its least
+    document, so a passage that everyone shares stays small. Word sequences are told apart by 128
+    bits: among 10**13 windows any two are mixed up with probability 10**-12. 4. The words go.
+
+    docs must have the same partitions whenever it is read, as a table or a cached DataFrame does.
+    If they change between passes, 3 takes all windows of a lot without an answer, and 4 raises
+    ValueError over removals that find no document.
 
     Null text: no words. A null id takes no part: its words are kept. Repeated rows of an id
     don't remove from one another. An empty table gives no rows; other columns are left out.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     size = int(d.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     windows = max(1, size // 6)
-    width = min(MAX_WIDTH, max(1 << 16, LOAD * windows))
-    buckets, shards = -(-windows // BUCKET), -(-max(1, size) // TEXT_BYTES)
-    known = d.where("doc_id is not null")
-
-    fan_out = -(-windows // (FLUSH // 4 * FAN_IN))
-    ddl = "g long, salt int, blob binary"
-    parts = known.select("text").mapInArrow(_partition_sketches(width, k, fan_out), ddl)
-    if fan_out > 1:
-        parts = parts.groupBy("g", "salt").applyInArrow(_merge(False), ddl)
-    path = fresh_dir(spark, "countmin")
-    parts.groupBy("g").applyInArrow(_merge(True), ddl).select("g", "blob").write.option("compression", "none").parquet(path)
-
-    flagged = known.mapInArrow(_flagged(path, width, k, buckets, shards), "g long, kind int, blob binary")
-    removals = flagged.groupBy("g").applyInArrow(_exact(shards, buckets), "s long, blob binary")
-
-    def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = b.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_shard_of(ids, b.column(1).to_numpy(zero_copy_only=False), shards), pa.int64())], ["doc_id", "key", "text", "s"])
-
-    texts = d.mapInArrow(shard, "doc_id long, key long, text string, s long")
-    return texts.groupBy("s").cogroup(removals.groupBy("s")).applyInArrow(_remove(k), "doc_id long, n_words long, n_removed long, kept_text string")
+    width = max(1 << 16, LOAD * windows)
+    span = min(MOST_RANGE, max(LEAST_RANGE, -(-width // RANGES)))
+    buckets = -(-windows // BUCKET)
+
+    sketches = d.mapInArrow(_sketches(width, span, k), "row int, r long, pid long, lot int, blob binary")
+    answers = fresh_dir(spark, "answers")
+    _file(sketches.groupBy("row", "r").applyInArrow(_answers(span), "pid long, lot int, row int, r long, blob binary"), answers)
+
+    flagged = d.mapInArrow(_flagged(answers, width, span, k, buckets), "g long, kind int, blob binary")
+    removals = fresh_dir(spark, "removals")
+    _file(flagged.groupBy("g").applyInArrow(_exact, "pid long, blob binary"), removals)
+    return d.mapInArrow(_remove(removals, k), "doc_id long, n_words long, n_removed long, kept_text string")
