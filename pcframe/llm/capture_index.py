@@ -20,6 +20,10 @@ from pcframe.llm.common import as_bytes, attempt_name, cut, fresh_dir, open_fs,
 LEAST_REVISIT = 100
 #: Lines of a compressed index block.
 BLOCK_LINES = 1_000
+#: Payloads that are stored more than once: broadcast (a digest and an id each) up to so many.
+BROADCAST_DIGESTS = 200_000
+#: Bytes of archives that one task reads back.
+READ_BYTES = 64_000_000
 _DATE = "2024-01-01T00:00:00Z"
 
 
@@ -91,9 +95,14 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     return pages.mapInArrow(run, "url_key string, page_id long, file string, offset long, length long")
 
 
+def _order(key: str, page: int | None) -> tuple:
+    """The index's order, Spark's as well: by key, then null page ids before all others."""
+    return key, page is not None, page or 0
+
+
 def build_index(captures: DataFrame, folder: str) -> DataFrame:
-    """Captures sorted by url_key (then page_id), in compressed blocks of lines in files of
-    folder; returns the sparse directory: first and last key, file, offset, length of each block."""
+    """Captures sorted by url_key, then page_id, in compressed blocks of lines in files of folder;
+    returns the sparse directory: of each block its first and last key and page, file, offset, length."""
     by = captures.repartitionByRange("url_key", "page_id").sortWithinPartitions("url_key", "page_id", "file", "offset")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,7 +115,7 @@ def build_index(captures: DataFrame, folder: str) -> DataFrame:
             nonlocal at, lines
             data = gzip.compress("".join(json.dumps(x) + "\n" for x in lines).encode(), 6, mtime=0)
             out.write(data)
-            rows.append((lines[0][0], lines[-1][0], name, at, len(data)))
+            rows.append((*lines[0][:2], *lines[-1][:2], name, at, len(data)))
             at, lines = at + len(data), []
 
         for b in batches:
@@ -119,10 +128,10 @@ def build_index(captures: DataFrame, folder: str) -> DataFrame:
             block()
         if out:
             out.close()
-        kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["first", "last", "file", "offset", "length"])
+        kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["first", "first_page", "last", "last_page", "file", "offset", "length"])
 
-    return by.mapInArrow(run, "first string, last string, file string, offset long, length long")
+    return by.mapInArrow(run, "first string, first_page long, last string, last_page long, file string, offset long, length long")
 
 
 class Reader:
@@ -142,36 +151,55 @@ class Reader:
         return zlib.decompress(f.read(length), 31)
 
 
-def _directory(path: str, low: str, high: str) -> list[tuple]:
-    """The blocks of the directory (a Parquet table) that keys from low to high can be in."""
-    import pyarrow.dataset as ds
+class Directory:
+    """The sparse directory (a Parquet table), opened once by a task; slices of it are read."""
+
+    def __init__(self, path: str):
+        import pyarrow.dataset as ds
+
+        fs, top = open_fs(path)
+        self.table = ds.dataset(top, filesystem=fs, format="parquet")
+
+    def slice(self, low: tuple, high: tuple) -> list[tuple]:
+        """(order of its first line, of its last line, file, offset, length) of the blocks that
+        (key, page) pairs from low to high can be in, sorted."""
+        import pyarrow.dataset as ds
 
-    fs, top = open_fs(path)
-    found = ds.dataset(top, filesystem=fs, format="parquet").to_table(filter=(ds.field("first") <= high) & (ds.field("last") >= low))
-    return sorted(zip(*(found.column(c).to_pylist() for c in ("first", "last", "file", "offset", "length"))))
+        f = ds.field
+        after, before = f("last") > low[0], f("first") < high[0]
+        same_low, same_high = f("last") == low[0], f("first") == high[0]
+        if low[1] is not None:
+            same_low &= f("last_page").is_null() | (f("last_page") >= low[1])
+        if high[1] is not None:
+            same_high &= f("first_page").is_null() | (f("first_page") <= high[1])
+        found = self.table.to_table(filter=(after | same_low) & (before | same_high))
+        rows = zip(*(found.column(c).to_pylist() for c in ("first", "first_page", "last", "last_page", "file", "offset", "length")))
+        return sorted((_order(a, p), _order(b, q), *rest) for a, p, b, q, *rest in rows)
 
 
 def lookup(keys: DataFrame, directory: str, folder: str) -> DataFrame:
     """The captures of (url_key, page_id) pairs: sorted requests, a binary search in the directory
-    for each, range reads of the blocks it names, and a binary search in the block."""
+    for each, range reads of the blocks it names, and a binary search in the block. Both searches
+    go by key and page, so that many captures of one URL cost no more than as many of others."""
     by = keys.select("url_key", "page_id").distinct().repartitionByRange("url_key", "page_id").sortWithinPartitions("url_key", "page_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, block, lines = Reader(folder), None, []
+        reader, places, block, lines = Reader(folder), None, None, []
         for b in batches:
             wanted = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
             if not wanted:
                 continue
-            blocks = _directory(directory, wanted[0][0], wanted[-1][0])
+            places = places or Directory(directory)
+            blocks = places.slice(wanted[0], wanted[-1])
             lasts, found = [x[1] for x in blocks], []
-            for key, page in wanted:
-                i = bisect_left(lasts, key)
-                while i < len(blocks) and blocks[i][0] <= key:
+            for target in (_order(*x) for x in wanted):
+                i = bisect_left(lasts, target)
+                while i < len(blocks) and blocks[i][0] <= target:
                     if block != blocks[i]:
                         block = blocks[i]
                         lines = [tuple(json.loads(x)) for x in reader.member(*block[2:]).decode().splitlines()]
-                    j = bisect_left(lines, (key, -1 if page is None else page), key=lambda x: (x[0], -1 if x[1] is None else x[1]))
-                    while j < len(lines) and lines[j][0] == key and lines[j][1] == page:
+                    j = bisect_left(lines, target, key=lambda x: _order(x[0], x[1]))
+                    while j < len(lines) and _order(lines[j][0], lines[j][1]) == target:
                         found.append(lines[j])
                         j += 1
                     i += 1
@@ -182,8 +210,12 @@ def lookup(keys: DataFrame, directory: str, folder: str) -> DataFrame:
 
 def read_records(places: DataFrame, folder: str) -> DataFrame:
     """Records at (file, offset, length), read in file order: page_id, payload_bytes,
-    payload_digest, record_type, refers_to, html (a revisit's is null)."""
-    by = places.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    payload_digest, record_type, refers_to, html (a revisit's is null). The places are few bytes
+    each; as many tasks read as the records' own bytes ask for."""
+    places = cut(places, "places")
+    tasks = -(-int(places.agg(F.sum("length")).first()[0] or 1) // READ_BYTES)
+    tasks = max(tasks, places.sparkSession.sparkContext.defaultParallelism)
+    by = places.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(folder)
@@ -219,7 +251,12 @@ def archive(pages: DataFrame) -> tuple[str, str, str, DataFrame]:
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("url"), html.alias("html"), F.sha2(html, 256).alias("payload_digest"))
     large = F.octet_length("html") >= LEAST_REVISIT
     first = p.where(large).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("payload_digest").alias("__d"), "first")
-    p = p.join(first, large & (F.col("payload_digest") == F.col("__d")), "left")
+    first = cut(first, "digests")
+    if first.count() <= BROADCAST_DIGESTS:
+        first = F.broadcast(first)
+    # beyond, pages that can't be revisits are dealt by a key of their own; Spark splits large digests
+    own = F.when(large, F.col("payload_digest")).otherwise(F.hex(F.xxhash64("page_id", "url")))
+    p = p.withColumn("__own", own).join(first, F.col("__own") == F.col("__d"), "left")
     refers = F.when(F.col("page_id") > F.col("first"), F.col("first"))
     p = p.select("page_id", "url", "html", "payload_digest", refers.alias("refers_to"), url_key(F.col("url")).alias("url_key"))
     archives, index, directory = fresh_dir(spark, "warc"), fresh_dir(spark, "cdx"), fresh_dir(spark, "directory")
