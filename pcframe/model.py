@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -65,7 +67,16 @@ class PointCloud:
             raise ValueError("offsets must start at 0, not decrease, and end at the number of points")
         spark = points.sparkSession
         spans = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(o, o[1:]))], "batch_id long, lo long, hi long")
-        rows = points.drop("batch_id").join(F.broadcast(spans), (F.col("row_id") >= F.col("lo")) & (F.col("row_id") < F.col("hi"))).drop("lo", "hi")
+        at = points.drop("batch_id")
+        ddl = "batch_id long, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in at.schema)
+        place, edges, names = at.columns.index("row_id"), np.asarray(o), ["batch_id", *at.columns]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:  # a binary search a row; empty entries begin where the next one does
+                entry = np.searchsorted(edges, b.column(place).to_numpy(), "right") - 1
+                yield pa.RecordBatch.from_arrays([pa.array(entry, pa.int64()), *b.columns], names)
+
+        rows = at.where((F.col("row_id") >= 0) & (F.col("row_id") < o[-1])).mapInArrow(run, ddl)
         return cls(rows, spans.select("batch_id", (F.col("hi") - F.col("lo")).alias("length")))
 
     @classmethod
@@ -96,8 +107,6 @@ class PointCloud:
     @classmethod
     def from_dense(cls, spark: SparkSession, values) -> PointCloud:
         """From nested sequences or an array: (N, 3) is one cloud, (B, N, 3) B equal ones."""
-        import numpy as np
-
         a = np.asarray(values)
         if a.dtype not in (np.float32, np.float64):
             raise TypeError("points must be float32 or float64")
@@ -139,8 +148,16 @@ class PointCloud:
     def batch_ids(self) -> DataFrame:
         return self.points.select("row_id", "batch_id")
 
-    def local_rows(self) -> DataFrame:
-        """points with local_row, a point's place in its own cloud from 0."""
+    def local_rows(self, whole: bool = True) -> DataFrame:
+        """points with local_row, a point's place in its own cloud from 0. whole: entries are small
+        enough for a task to sort each; otherwise rows are numbered in all and entries' first
+        numbers taken off."""
+        if not whole:
+            from pcframe.plans.order import numbered
+
+            rows = numbered(self.points, ["batch_id", "row_id"], "__n")
+            first = rows.groupBy("batch_id").agg(F.min("__n").alias("__first"))
+            return rows.join(first, "batch_id").withColumn("local_row", F.col("__n") - F.col("__first")).drop("__n", "__first")
         return self.points.withColumn("local_row", (F.row_number().over(Window.partitionBy("batch_id").orderBy("row_id")) - 1).cast("long"))
 
     # -- conversions ----------------------------------------------------------------------
@@ -155,10 +172,19 @@ class PointCloud:
         """DataFrames can't be changed in place, so a clone shares them."""
         return replace(self)
 
-    def with_values(self, values: DataFrame) -> PointCloud:
-        """Point-aligned side values, joined by row_id (and batch_id, if they have it)."""
+    def check_aligned(self, values: DataFrame, name: str) -> list[str]:
+        """Raise ValueError unless values have one row for each point; the columns to join by."""
         on = ["batch_id", "row_id"] if "batch_id" in values.columns else ["row_id"]
-        return replace(self, points=self.points.join(values, on, "left"))
+        own, other = self.points.select(*on, F.lit(1).alias("__p")), values.select(*on, F.lit(1).alias("__v"))
+        both = own.join(other, on, "full").groupBy(*on).agg(F.count("__p").alias("p"), F.count("__v").alias("v"))
+        if not both.where("p <> 1 or v <> 1").isEmpty():
+            raise ValueError(f"{name} must have one row for each point")
+        return on
+
+    def with_values(self, values: DataFrame) -> PointCloud:
+        """Point-aligned side values, joined by row_id (and batch_id, if they have it); each point
+        needs its row (one job checks)."""
+        return replace(self, points=self.points.join(values, self.check_aligned(values, "values")))
 
     def to_padded(self, pad_value: float = 0.0) -> DataFrame:
         """batch_id, points (array of [x, y, z], all of the longest entry's length), length."""
@@ -198,13 +224,14 @@ def as_point_cloud(value) -> PointCloud:
     raise TypeError("expected a PointCloud or a DataFrame; for padded arrays use from_padded")
 
 
-def check_pair(source: PointCloud, target: PointCloud, equal_lengths: bool = False, non_empty: bool = True) -> None:
-    """Both over the same entries and of one type; optionally equal lengths, no empty entry."""
+def check_pair(source: PointCloud, target: PointCloud, equal_lengths: bool = False, non_empty: bool = True) -> int:
+    """Both over the same entries and of one type; optionally equal lengths, no empty entry.
+    Returns the points of the largest entry of either."""
     if source.dtype != target.dtype:
         raise TypeError("source and target must have the same dtype, float32 or float64")
     a, b = source.clouds.select("batch_id", F.col("length").alias("la")), target.clouds.select("batch_id", F.col("length").alias("lb"))
     r = a.join(b, "batch_id", "full").agg(
-        F.bool_or(F.col("la").isNull() | F.col("lb").isNull()).alias("size"), F.bool_or(F.col("la") != F.col("lb")).alias("unequal"), F.bool_or((F.col("la") == 0) | (F.col("lb") == 0)).alias("empty"), F.count("*").alias("n")
+        F.bool_or(F.col("la").isNull() | F.col("lb").isNull()).alias("size"), F.bool_or(F.col("la") != F.col("lb")).alias("unequal"), F.bool_or((F.col("la") == 0) | (F.col("lb") == 0)).alias("empty"), F.count("*").alias("n"), F.max(F.greatest("la", "lb")).alias("largest")
     ).first()
     if r["size"]:
         raise ValueError("source and target must have the same batch size")
@@ -212,5 +239,6 @@ def check_pair(source: PointCloud, target: PointCloud, equal_lengths: bool = Fal
         raise ValueError("source and target must have equal lengths")
     if non_empty and (r["empty"] or not r["n"]):
         raise ValueError("source and target must be non-empty")
+    return r["largest"] or 0
 
 

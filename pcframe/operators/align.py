@@ -11,17 +11,19 @@ from pyspark.sql import functions as F
 
 from pcframe.functions.linalg import homogeneous, kabsch
 from pcframe.model import XYZ, PointCloud, as_point_cloud, check_pair
+from pcframe.plans.search import WHOLE_POINTS, keep
 
 
-def correspondences(source: PointCloud, target: PointCloud, weights: DataFrame | None) -> DataFrame:
+def correspondences(source: PointCloud, target: PointCloud, weights: DataFrame | None, whole: bool = True) -> DataFrame:
     """Rows of both clouds at the same place of the same entry: batch_id, w, sx.., tx..; weights:
-    row_id (of the source), weight."""
-    s = source.local_rows().select("batch_id", "local_row", "row_id", *[F.col(c).cast("double").alias(f"s{c}") for c in XYZ])
-    t = target.local_rows().select("batch_id", "local_row", *[F.col(c).cast("double").alias(f"t{c}") for c in XYZ])
+    row_id (of the source; batch_id too, if they have it), weight, a row a point."""
+    s = source.local_rows(whole).select("batch_id", "local_row", "row_id", *[F.col(c).cast("double").alias(f"s{c}") for c in XYZ])
+    t = target.local_rows(whole).select("batch_id", "local_row", *[F.col(c).cast("double").alias(f"t{c}") for c in XYZ])
     both = s.join(t, ["batch_id", "local_row"])
     if weights is None:
         return both.withColumn("w", F.lit(1.0))
-    return both.join(weights.select("row_id", F.col("weight").cast("double").alias("w")), "row_id")
+    on = source.check_aligned(weights, "weights")
+    return both.join(weights.select(*on, F.col("weight").cast("double").alias("w")), on)
 
 
 def cross_covariance(rows: DataFrame) -> DataFrame:
@@ -40,12 +42,12 @@ def procrustes(source, target, *, weights: DataFrame | None = None, estimate_sca
     """batch_id, rotation (3x3), translation, scale, transform (4x4: scale * R | t): the motion
     that takes source onto target, row by row, in the weighted least-squares sense.
 
-    Errors: entries of unequal lengths; negative or infinite weights; fewer than three rows of
+    Errors: entries of unequal lengths; weights without a row for each point; negative or infinite weights; fewer than three rows of
     positive weight; collinear rows. They are found by one aggregate job over the entries.
     """
     source, target = as_point_cloud(source), as_point_cloud(target)
-    check_pair(source, target, equal_lengths=True, non_empty=False)
-    moments = cross_covariance(correspondences(source, target, weights))
+    whole = check_pair(source, target, equal_lengths=True, non_empty=False) <= WHOLE_POINTS
+    moments = keep(cross_covariance(correspondences(source, target, weights, whole)))  # a row an entry, read three times
     every = source.clouds.select("batch_id").join(moments, "batch_id", "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

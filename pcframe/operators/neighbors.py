@@ -7,42 +7,62 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pcframe.model import PointCloud, as_point_cloud
+from pcframe.model import XYZ, PointCloud, as_point_cloud
 from pcframe.plans import search
 
-ALGORITHMS = ("auto", "local", "batch", "grid")
+ALGORITHMS = ("auto", "local", "batch", "grid", "blocks")
 
 
 class NeighborIndex:
-    """A reference cloud to search in. algorithm: 'batch' joins whole entries, 'grid' joins cells
-    (rings of them without a radius), 'local' searches an entry in one task. 'auto' takes the
-    grid wherever there is a radius; without one, 'local' if no entry has more than
-    search.LOCAL_POINTS points (one small aggregate tells), else the grid."""
+    """A reference cloud to search in, as often as wanted.
+
+    algorithm: 'blocks' (and 'auto') keys the reference by blocks of bounded size, an entry a
+    block unless it is larger; 'local' takes each entry whole, whatever its size; 'batch' joins
+    whole entries; 'grid' joins cells of the radius, which it needs. The keyed reference of
+    'blocks' is made at the first search and, if an entry had to be cut, kept in the shared folder
+    for the next ones."""
 
     def __init__(self, reference, *, algorithm: str = "auto"):
         if algorithm not in ALGORITHMS:
             raise ValueError(f"algorithm must be one of {ALGORITHMS}; a bvh has no counterpart in a distributed plan")
         self.reference: PointCloud = as_point_cloud(reference)
         self.algorithm = algorithm
+        self._kept: tuple[DataFrame, search.Blocks] | None = None
+
+    def blocks(self) -> tuple[DataFrame, search.Blocks]:
+        """The reference with all its columns, keyed by batch_id and block, and how it is cut."""
+        if self._kept is None:
+            points = self.reference.points
+            carry = tuple(c for c in points.columns if c not in ("batch_id", "row_id", *XYZ))
+            r, _ = search.sides(points, points, carry)
+            dealt, blocks = search.indexed(r, self.reference.clouds)
+            self._kept = search.keep(dealt) if blocks.trees else dealt, blocks
+        return self._kept
 
     def _search(self, queries, k: int, radius: float | None, carry: tuple[str, ...] = ()) -> DataFrame:
-        if not 1 <= k <= search.MAX_K:
+        if not isinstance(k, int) or not 1 <= k <= search.MAX_K:
             raise ValueError("k must be in [1, 64]")
-        if radius is not None and not (radius > 0 and math.isfinite(radius)):
-            raise ValueError("radius must be positive and finite")
-        r, q = search.sides(self.reference.points, as_point_cloud(queries).points, carry)
-        if radius is None:
-            plan = self.algorithm if self.algorithm != "auto" else "local" if self._small(queries) else "grid"
-            found = {"local": search.local_knn, "grid": search.ring_knn, "batch": lambda r, q, k: search.top_k(search.batch_join(r, q), k)}[plan](r, q, k)
-        elif self.algorithm == "batch":
-            found = search.top_k(search.batch_join(r, q).where(F.col("d2") <= F.lit(radius * radius)), k)
-        else:
-            found = search.top_k(search.band_join(r, q, radius), k)
-        return found
-
-    def _small(self, queries) -> bool:
-        sizes = self.reference.clouds.select("length").unionByName(as_point_cloud(queries).clouds.select("length"))
-        return (sizes.agg(F.max("length")).first()[0] or 0) <= search.LOCAL_POINTS
+        if radius is not None and not radius > 0:
+            raise ValueError("radius must be positive")
+        if radius is not None and math.isinf(radius):
+            radius = None
+        queries = as_point_cloud(queries)
+        if queries.dtype != self.reference.dtype:
+            raise TypeError("queries and reference must have the same dtype, float32 or float64")
+        r, q = search.sides(self.reference.points, queries.points, carry)
+        if self.algorithm == "batch":
+            found = search.batch_join(r, q)
+            return search.top_k(found if radius is None else found.where(F.col("d2") <= F.lit(radius * radius)), k)
+        if self.algorithm == "grid":
+            if radius is None:
+                raise ValueError("algorithm 'grid' needs a finite radius")
+            return search.top_k(search.band_join(r, q, radius), k)
+        if self.algorithm == "local":
+            return search.local_knn(r, q, k, radius)
+        dealt, blocks = self.blocks()
+        wanted = ["batch_id", "block", "ref_row", *[f"r{c}" for c in XYZ], *[f"r_{c}" for c in carry]]
+        # columns of its own, where queries and reference are one cloud
+        return search.block_knn(dealt.select(*[F.col(c).alias(c) for c in wanted]), blocks, q, k, radius)
 
     def _long(self, found: DataFrame) -> DataFrame:
         return found.select("batch_id", "query_row", "rank", "ref_row", "d2")

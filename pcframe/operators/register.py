@@ -38,32 +38,36 @@ class Kernel:
         return np.where(residual <= self.delta, 1.0, self.delta / np.maximum(residual, 2.2250738585072014e-308))
 
 
-def _largest(*some: PointCloud) -> int:
-    sizes = some[0].clouds.select("length")
-    for c in some[1:]:
-        sizes = sizes.unionByName(c.clouds.select("length"))
-    return sizes.agg(F.max("length")).first()[0] or 0
-
-
 def _positive(max_distance: float) -> None:
-    if not (max_distance > 0 and np.isfinite(max_distance)):
-        raise ValueError("max_distance must be positive and finite")
+    if not max_distance > 0:
+        raise ValueError("max_distance must be positive")
 
 
 def initial_transforms(cloud: PointCloud, init=None) -> DataFrame:
     """batch_id, m: the identity, one 4x4 matrix for all entries, or the DataFrame given."""
     if isinstance(init, DataFrame):
-        return cloud.clouds.select("batch_id").join(init.select("batch_id", "m"), "batch_id")
+        out = cloud.clouds.select("batch_id").join(init.select("batch_id", "m"), "batch_id", "left")
+        odd = out.groupBy("batch_id").agg(F.count("m").alias("n"), F.min((F.size("m") == 4) & F.forall("m", lambda r: F.size(r) == 4)).alias("square"))
+        if not odd.where("n <> 1 or not square").isEmpty():
+            raise ValueError("init must have shape (4, 4), or one such matrix for every entry")
+        return out
     m = IDENTITY if init is None else [[float(v) for v in r] for r in init]
     if len(m) != 4 or any(len(r) != 4 for r in m):
         raise ValueError("init must have shape (4, 4)")
     return cloud.clouds.select("batch_id", F.array(*[F.array(*map(F.lit, r)) for r in m]).alias("m"))
 
 
-def _matched(source: PointCloud, target: DataFrame, transforms: DataFrame, max_distance: float, normals: bool) -> DataFrame:
-    """Each moved source point with its nearest target point within max_distance, if any."""
-    moved = transform(PointCloud(source.points.select("batch_id", "row_id", *XYZ), source.clouds), transforms)
+def _matched(source: PointCloud, target: DataFrame, transforms: DataFrame, max_distance: float, normals: bool, index: NeighborIndex | None = None) -> DataFrame:
+    """Each moved source point of the entries that have a transform, with its nearest target point
+    within max_distance, if any. An index over the target is searched instead of its points."""
+    own = source.points.select("batch_id", "row_id", *XYZ).join(transforms.select("batch_id"), "batch_id", "left_semi")
+    moved = transform(PointCloud(own, source.clouds), transforms)
     r, q = search.sides(target, moved.points, NORMALS if normals else ())
+    if index is not None:
+        dealt, blocks = index.blocks()
+        keyed = dealt.select(*[F.col(c).alias(c) for c in ("batch_id", "block", "ref_row", *[f"r{x}" for x in XYZ])])
+        found = search.block_knn(keyed, blocks, q, 1, None if np.isinf(max_distance) else max_distance).drop("rank")
+        return found.join(r.select("batch_id", "ref_row", *[f"r_{c}" for c in NORMALS]), ["batch_id", "ref_row"]) if normals else found
     return search.top_k(search.band_join(r, q, max_distance).select("batch_id", "query_row", "d2", "ref_row", *[f"{s}{c}" for s in "rq" for c in XYZ], *[f"r_{c}" for c in NORMALS if normals]), 1)
 
 
@@ -208,7 +212,10 @@ def _target_rows(target: PointCloud, target_normals: DataFrame | None, method: s
     if method != "point_to_plane":
         return target.points.select("batch_id", "row_id", *XYZ)
     if target_normals is not None:
-        return target.points.select("batch_id", "row_id", *XYZ).join(target_normals.select("row_id", *NORMALS), "row_id")
+        if {k for c, k in target_normals.dtypes if c in NORMALS} != {target.dtype}:
+            raise ValueError("target_normals must have the target's dtype")
+        on = target.check_aligned(target_normals, "target_normals")
+        return target.points.select("batch_id", "row_id", *XYZ).join(target_normals.select(*on, *NORMALS), on)
     if not target.has_normals:
         raise ValueError("point_to_plane needs target_normals, attached or given")
     return target.points.select("batch_id", "row_id", *XYZ, *NORMALS)
@@ -225,12 +232,12 @@ def icp(source, target, max_distance: float, *, init=None, method: str = "point_
 
     strategy: 'distributed' makes a plan a turn, whatever an entry's size: the state is a row an
     entry and stays distributed, and a turn tells the driver one boolean. 'local' takes all turns
-    of an entry in one task. 'auto' is local if no entry has more than search.LOCAL_POINTS points.
+    of an entry in one task. 'auto' is local if no entry has more than search.WHOLE_POINTS points.
     """
     if strategy not in ("auto", "local", "distributed"):
         raise ValueError("strategy must be 'auto', 'local', or 'distributed'")
     source, target = as_point_cloud(source), as_point_cloud(target)
-    check_pair(source, target)
+    largest = check_pair(source, target)
     _positive(max_distance)
     if method not in METHODS:
         raise ValueError("method must be 'point_to_point' or 'point_to_plane'")
@@ -247,24 +254,26 @@ def icp(source, target, max_distance: float, *, init=None, method: str = "point_
     rows = _target_rows(target, target_normals, method)
     normals, kernel = method == "point_to_plane", Kernel(robust_kernel, robust_delta)
     rules = Rules(method, relative_fitness, relative_rmse)
-    if strategy == "local" or strategy == "auto" and _largest(source, target) <= search.LOCAL_POINTS:
+    if strategy == "local" or strategy == "auto" and largest <= search.WHOLE_POINTS:
         begin = initial_transforms(source, init)
         moving = source.points.select("batch_id", "row_id", *[F.col(c).cast("double") for c in XYZ]).join(begin.select("batch_id", "m"), "batch_id")
         fixed = rows.select(*[F.col(c).alias(c) for c in rows.columns])  # columns of its own, where both are one cloud
         state = moving.groupBy("batch_id").cogroup(fixed.groupBy("batch_id")).applyInPandas(_local(rules, kernel, max_distance, max_iterations), _STATE)
         return state.select("batch_id", F.col("m").alias("transform"), "converged", "iterations", "fitness", F.col("rmse").alias("inlier_rmse"))
-    state = _distributed(source, target, rows, init, rules, kernel, normals, max_distance, max_iterations)
-    final = evaluate_registration(source, target, max_distance, state.select("batch_id", "m"))
+    if index is None and np.isinf(max_distance):
+        index = NeighborIndex(target)
+    state = _distributed(source, target, rows, init, rules, kernel, normals, max_distance, max_iterations, index)
+    final = evaluate_registration(source, target, max_distance, state.select("batch_id", "m"), index=index)
     return final.join(state.select("batch_id", "converged", "iterations"), "batch_id").select("batch_id", "transform", "converged", "iterations", "fitness", "inlier_rmse")
 
 
-def _distributed(source: PointCloud, target: PointCloud, rows: DataFrame, init, rules: Rules, kernel: Kernel, normals: bool, max_distance: float, max_iterations: int) -> DataFrame:
+def _distributed(source: PointCloud, target: PointCloud, rows: DataFrame, init, rules: Rules, kernel: Kernel, normals: bool, max_distance: float, max_iterations: int, index: NeighborIndex | None) -> DataFrame:
     origin = target.points.groupBy("batch_id").agg(*[F.avg(F.col(c).cast("double")).alias(f"o{c}") for c in XYZ])
     fixed = search.keep(source.clouds.join(origin, "batch_id"))
     state = search.keep(initial_transforms(source, init).select("batch_id", "m", F.lit(True).alias("active"), F.lit(False).alias("converged"), F.lit(0).alias("iterations"), F.lit(0.0).alias("fitness"), F.lit(0.0).alias("rmse")))
     for turn in range(max_iterations):
         moving = state.where("active").select("batch_id", "m")
-        found = _matched(source, rows, moving, max_distance, normals).join(fixed.select("batch_id", *[f"o{c}" for c in XYZ]), "batch_id")
+        found = _matched(source, rows, moving, max_distance, normals, index).join(fixed.select("batch_id", *[f"o{c}" for c in XYZ]), "batch_id")
         sums = found.groupBy("batch_id").agg(*_sums(rules.method, kernel))
         joined = state.where("active").join(fixed, "batch_id").join(sums, "batch_id", "left")
         state = search.keep(joined.mapInPandas(_turn(rules, turn == 0), _STATE).unionByName(state.where("not active")))
@@ -281,6 +290,8 @@ def evaluate_registration(source, target, max_distance: float, transforms=None,
     if index is not None and index.reference.points is not target.points:
         raise ValueError("index must be over the target")
     m = initial_transforms(source, transforms)
-    got = _matched(source, target.points, m, max_distance, False).groupBy("batch_id").agg(F.count("*").alias("hits"), F.sum("d2").alias("error"))
+    if index is None and np.isinf(max_distance):
+        index = NeighborIndex(target)
+    got = _matched(source, target.points, m, max_distance, False, index).groupBy("batch_id").agg(F.count("*").alias("hits"), F.sum("d2").alias("error"))
     out = source.clouds.join(m, "batch_id").join(got, "batch_id", "left")
     return out.select("batch_id", F.col("m").alias("transform"), (F.coalesce("hits", F.lit(0)) / F.col("length")).alias("fitness"), F.coalesce(F.sqrt(F.col("error") / F.col("hits")), F.lit(0.0)).alias("inlier_rmse"))

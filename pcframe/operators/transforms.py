@@ -27,14 +27,16 @@ def _apply(entry, columns: Sequence[str], shift: bool) -> list[Column]:
 def transform(cloud, transformations) -> PointCloud:
     """R p + t for every point; normals are turned only, other columns kept, the bottom row of
     the matrix ignored. transformations: one 4x4 matrix (nested lists), or a DataFrame batch_id,
-    m (4x4) with a row for every entry. The result is of the wider type of the two; a matrix's
+    m (4x4) with a row for every entry (points of an entry without one raise when the plan runs).
+    The result is of the wider type of the two; a matrix's
     is double."""
     cloud = as_point_cloud(cloud)
     normals = [NORMALS] if cloud.has_normals else []
     if isinstance(transformations, DataFrame):
         if "batch_id" not in transformations.columns or dict(transformations.dtypes).get("m") != MATRIX:
             raise TypeError(f"transformations need batch_id and m, {MATRIX}")
-        rows = cloud.points.join(transformations.select("batch_id", F.col("m").alias("__m")), "batch_id")
+        missing = F.raise_error(F.concat(F.lit("transformations: none for entry "), F.col("batch_id").cast("string"))).cast(MATRIX)
+        rows = cloud.points.join(transformations.select("batch_id", F.col("m").alias("__m")), "batch_id", "left").withColumn("__m", F.coalesce("__m", missing))
         entry = lambda i, j: F.col("__m")[i][j]
     else:
         m = [[float(v) for v in r] for r in transformations]

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pcframe.model import XYZ, PointCloud, as_point_cloud
+from pcframe.plans.order import numbered
 
 VOXEL = ("vx", "vy", "vz")
 REDUCTIONS = ("mean", "sum", "min", "max", "first")
@@ -24,15 +26,12 @@ class Voxelization:
     voxels: DataFrame
 
     def ids(self) -> DataFrame:
-        """voxels with voxel_id, dense from 0 in order of (batch_id, vx, vy, vz). Ranks are taken
-        within slabs of one vx; slabs and entries add what stands before them."""
-        slab = self.voxels.groupBy("batch_id", "vx").agg(F.count("*").alias("n"))
-        upto = lambda *p: Window.partitionBy(*p).rowsBetween(Window.unboundedPreceding, -1)
-        slab = slab.withColumn("in_entry", F.coalesce(F.sum("n").over(upto("batch_id").orderBy("vx")), F.lit(0)))
-        entry = slab.groupBy("batch_id").agg(F.sum("n").alias("m")).withColumn("before", F.coalesce(F.sum("m").over(Window.orderBy("batch_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        base = slab.join(entry.select("batch_id", "before"), "batch_id").select("batch_id", "vx", (F.col("in_entry") + F.col("before")).alias("__base"))
-        rank = F.row_number().over(Window.partitionBy("batch_id", "vx").orderBy("vy", "vz")) - 1
-        return self.voxels.withColumn("__rank", rank).join(base, ["batch_id", "vx"]).withColumn("voxel_id", (F.col("__base") + F.col("__rank")).cast("long")).drop("__rank", "__base")
+        """voxels with voxel_id, dense from 0 in order of (batch_id, vx, vy, vz); made once."""
+        return self._ids
+
+    @functools.cached_property
+    def _ids(self) -> DataFrame:
+        return numbered(self.voxels, ["batch_id", *VOXEL], "voxel_id")
 
     def point_to_voxel(self) -> DataFrame:
         """batch_id, row_id, voxel_id."""
@@ -64,6 +63,11 @@ class Voxelization:
         return self.keyed.groupBy("batch_id", *VOXEL).agg(*[of(c).alias(c) for c in columns])
 
 
+def cell(c: Column, size: Column, dtype: str) -> Column:
+    """floor(c / size), signed; float32 coordinates divide in float32."""
+    return F.floor((c / size.cast("float")).cast("float") if dtype == "float" else c / size).cast("long")
+
+
 def voxelize(cloud, voxel_size: float) -> Voxelization:
     """Group points by floor(p / voxel_size), signed, in each batch entry. float32 clouds divide
     in float32. Points must be finite (PointCloud.validate() checks)."""
@@ -71,10 +75,6 @@ def voxelize(cloud, voxel_size: float) -> Voxelization:
         raise ValueError("voxel_size must be positive and finite")
     cloud = as_point_cloud(cloud)
     size = F.lit(float(voxel_size))
-    if cloud.dtype == "float":
-        key = lambda c: F.floor((F.col(c) / size.cast("float")).cast("float")).cast("long")
-    else:
-        key = lambda c: F.floor(F.col(c) / size).cast("long")
-    keyed = cloud.points.withColumns({v: key(c) for v, c in zip(VOXEL, XYZ)})
+    keyed = cloud.points.withColumns({v: cell(F.col(c), size, cloud.dtype) for v, c in zip(VOXEL, XYZ)})
     voxels = keyed.groupBy("batch_id", *VOXEL).agg(F.count("*").alias("count"), *[(F.sum(F.col(c).cast("double")) / F.count("*")).alias(c) for c in XYZ])
     return Voxelization(cloud, keyed, voxels)

@@ -11,15 +11,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pcframe.model import NORMALS, XYZ, PointCloud
+from pcframe.model import NORMALS, XYZ, PointCloud, as_point_cloud, check_pair
 from pcframe.operators import gradients, metrics, multiscale, register
 from pcframe.operators.align import procrustes
-from pcframe.operators.neighbors import hybrid_neighbors, knn, radius_neighbors, slots
+from pcframe.operators.neighbors import NeighborIndex, hybrid_neighbors, knn, radius_neighbors, slots
 from pcframe.operators.normals import estimate_normals
 from pcframe.operators.segments import batch_reduce, segment_mean, segment_sum
 from pcframe.operators.transforms import pose_error, pose_matrix, pose_to_matrix, rigid_inverse, transform, transform_points
 from pcframe.operators.voxel import VOXEL, voxelize
+from pcframe.plans.order import numbered
 from pcframe.sources import clouds
+from pcframe.sources.files import read_matrix, read_ply
 from pcframe.streaming.occupancy import voxel_occupancy
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,12 +75,12 @@ _EACH = _with("emb_a", "emb_b", more=_NEAREST + ", fa AS (SELECT batch_id, avg(d
 # -- metrics ------------------------------------------------------------------------------
 @query(_EACH + "SELECT batch_id, (fa.m + ba.m) / 2 AS chamfer FROM fa JOIN ba USING (batch_id)")
 def chamfer_per_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.chamfer_distance(_A(spark, sf_dir), _B(spark, sf_dir))
+    return metrics.chamfer_distance(_A(spark, sf_dir), _B(spark, sf_dir), reduction="none")
 
 
 @query(_EACH + "SELECT batch_id, m AS chamfer FROM fa")
 def chamfer_one_way(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.chamfer_distance(_A(spark, sf_dir), _B(spark, sf_dir), bidirectional=False)
+    return metrics.chamfer_distance(_A(spark, sf_dir), _B(spark, sf_dir), bidirectional=False, reduction="none")
 
 
 @query(_with("emb_a", "emb_b", more=_NEAREST) + f"SELECT batch_id, CAST(sum({_q6('sqrt(d2)')}) AS BIGINT) AS sum_q6, count(*) AS n FROM f GROUP BY 1")
@@ -127,9 +129,87 @@ def knn_self_k10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_with("prt") + _ranked("prt", "prt", 3))
-def knn_grid_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def knn_batch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = clouds.parts(spark, sf_dir)
-    return knn(c, c, 3, algorithm="grid")
+    return knn(c, c, 3, algorithm="batch")
+
+
+def _one_entry(cloud: PointCloud, **moved: Column) -> PointCloud:
+    """All points as one entry."""
+    p = cloud.points.withColumn("batch_id", F.lit(0).cast("long")).withColumns(moved)
+    return PointCloud(p, p.groupBy("batch_id").agg(F.count("*").alias("length")))
+
+
+_ONE = "one AS MATERIALIZED (SELECT CAST(0 AS BIGINT) AS batch_id, row_id, {x} AS x, {y} AS y, {z} AS z FROM {name})"
+
+
+def _in_blocks(points: int):
+    """Entries of more than so many points are cut into blocks, which the small tables have none of."""
+    from pcframe.plans import search
+
+    def run(f: Callable[[], DataFrame]) -> DataFrame:
+        before, search.LOCAL_POINTS = search.LOCAL_POINTS, points
+        try:
+            return f()
+        finally:
+            search.LOCAL_POINTS = before
+
+    return run
+
+
+@query(_with("evt", more=_ONE.format(x="x", y="y", z="z", name="evt")) + _ranked("one", "one", 4))
+def knn_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One entry, cut into blocks; many points at equal distances."""
+    c = _one_entry(clouds.events(spark, sf_dir))
+    return _in_blocks(1_000)(lambda: knn(c, c, 4))
+
+
+@query(_with("prt", more=_ONE.format(x="y", y="z", z="CAST(0 AS DOUBLE)", name="prt")) + _ranked("one", "one", 5))
+def knn_plane_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A flat entry in blocks."""
+    c = _one_entry(clouds.parts(spark, sf_dir), x=F.col("y"), y=F.col("z"), z=F.lit(0.0))
+    return _in_blocks(200)(lambda: knn(c, c, 5))
+
+
+@query(_with("evt", more="skew AS MATERIALIZED (SELECT CASE WHEN batch_id < 24 THEN 0 ELSE batch_id END AS batch_id, row_id, CASE WHEN batch_id = 31 THEN 1000 * x ELSE x END AS x, y, z FROM evt)") + _ranked("skew", "skew", 3))
+def knn_skewed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An entry with most of the points, some small ones, and a sparse one."""
+    p = clouds.events(spark, sf_dir).points
+    p = p.withColumn("x", F.when(F.col("batch_id") == 31, 1000 * F.col("x")).otherwise(F.col("x"))).withColumn("batch_id", F.when(F.col("batch_id") < 24, F.lit(0).cast("long")).otherwise(F.col("batch_id")))
+    c = PointCloud.packed(p)
+    return _in_blocks(1_500)(lambda: knn(c, c, 3))
+
+
+@query(_with("prt", more="thick AS MATERIALIZED (SELECT CAST(0 AS BIGINT) AS batch_id, row_id, x / 1024 AS x, y / 1024 AS y, z / 1024 AS z FROM prt)") + _ranked("thick", "thick", 8, "d2 <= CAST(1 AS DOUBLE)"))
+def hybrid_dense_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All points of an entry within the radius of one another."""
+    c = _one_entry(clouds.parts(spark, sf_dir), **{c: F.col(c) / 1024 for c in XYZ})
+    return _in_blocks(300)(lambda: hybrid_neighbors(c, c, 1.0, 8))
+
+
+@query(_with("emb_a", "emb_b") + _ranked("emb_a", "emb_b", 64, f"d2 <= CAST({RADIUS * RADIUS} AS DOUBLE)"))
+def radius_grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return radius_neighbors(_B(spark, sf_dir), _A(spark, sf_dir), RADIUS, algorithm="grid")
+
+
+@query(_with("emb_a", "emb_b") + _ranked("emb_a", "emb_b", 2))
+def radius_infinite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return radius_neighbors(_B(spark, sf_dir), _A(spark, sf_dir), float("inf"), max_neighbors=2)
+
+
+@query(_with("emb_a", "emb_b", more=f"n1 AS ({_ranked('emb_a', 'emb_b', 1)}), n2 AS ({_ranked('emb_a', 'emb_b', 3, 'd2 <= CAST(' + str(RADIUS * RADIUS) + ' AS DOUBLE)')})") + "SELECT 1 AS search, * FROM n1 UNION ALL SELECT 2, * FROM n2")
+def neighbor_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One index, searched twice."""
+    a, index = _A(spark, sf_dir), NeighborIndex(_B(spark, sf_dir))
+    one, two = index.knn(a, 1), index.hybrid(a, RADIUS, 3)
+    return one.select(F.lit(1).alias("search"), "*").unionByName(two.select(F.lit(2).alias("search"), "*"))
+
+
+@query(_with("emb_a", "emb_b", more="qa AS MATERIALIZED (SELECT * FROM emb_a WHERE row_id % 5 <> 0), rb AS MATERIALIZED (SELECT * FROM emb_b WHERE row_id % 5 <> 0)") + _ranked("qa", "rb", 3))
+def knn_nan_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points that aren't numbers match nothing."""
+    holes = lambda c: PointCloud(c.points.withColumn("x", F.when(F.col("row_id") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("x"))), c.clouds)
+    return knn(holes(_B(spark, sf_dir)), holes(_A(spark, sf_dir)), 3)
 
 
 @query(_with("prt") + _ranked("prt", "prt", 1))
@@ -418,7 +498,10 @@ def icp_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _entries(register.icp(s, t, 0.2, method="point_to_plane", target_normals=_unit_normals(t)))
 
 
-@query()
+_ALIGNED = "SELECT DISTINCT batch_id, true AS converged, CAST(1000000 AS BIGINT) AS fitness_q6 FROM emb_a"
+
+
+@query(_with("emb_a") + _ALIGNED)
 def icp_huber(spark: SparkSession, sf_dir: str) -> DataFrame:
     return register.icp(*_posed(spark, sf_dir), 0.2, robust_kernel="huber", robust_delta=0.05).select("batch_id", "converged", q6("fitness").alias("fitness_q6"))
 
@@ -430,6 +513,30 @@ def icp_one_batch_fails(spark: SparkSession, sf_dir: str) -> DataFrame:
     return register.icp(off, t, 0.2).select("batch_id", "converged", "fitness")
 
 
+@query(_matrix_sql(pose_to_matrix(POSE)))
+def icp_point_distributed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plan a turn, the state distributed."""
+    return _entries(register.icp(*_posed(spark, sf_dir), 0.2, strategy="distributed"))
+
+
+@query(_matrix_sql(pose_to_matrix(POSE)))
+def icp_plane_distributed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, t = _posed(spark, sf_dir)
+    return _entries(register.icp(s, t, 0.2, method="point_to_plane", target_normals=_unit_normals(t), strategy="distributed"))
+
+
+@query(_with("emb_a") + _ALIGNED)
+def icp_huber_distributed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, t = _posed(spark, sf_dir)
+    return register.icp(s, t, 0.2, robust_kernel="huber", robust_delta=0.05, strategy="distributed", index=NeighborIndex(t)).select("batch_id", "converged", q6("fitness").alias("fitness_q6"))
+
+
+@query(_with("emb_a") + "SELECT DISTINCT batch_id, false AS converged, 3 AS iterations FROM emb_a")
+def icp_iterations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Limits of zero are never met: all turns are taken."""
+    return register.icp(*_posed(spark, sf_dir), 0.2, relative_fitness=0.0, relative_rmse=0.0, max_iterations=3).select("batch_id", "converged", "iterations")
+
+
 @query(_matrix_sql(pose_to_matrix(POSE)))
 def icp_given_init(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _entries(register.icp(*_posed(spark, sf_dir), 0.2, init=pose_to_matrix(POSE), max_iterations=0))
@@ -457,6 +564,16 @@ def multiscale_icp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _entries(multiscale.multiscale_icp(*_posed(spark, sf_dir), scales))
 
 
+@query(_matrix_sql(pose_to_matrix(POSE)))
+def multiscale_icp_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Point to plane from pyramids, the target's with reduced normals."""
+    s, t = _posed(spark, sf_dir)
+    scales = [multiscale.ICPScale(2.0**-20, 0.4, 10), multiscale.ICPScale(2.0**-21, 0.2, 20)]
+    sizes = [x.voxel_size for x in scales]
+    with_n = PointCloud(t.points.join(_unit_normals(t), "row_id"), t.clouds)
+    return _entries(multiscale.multiscale_icp(multiscale.build_pyramid(s, sizes), multiscale.build_pyramid(with_n, sizes, normal_mode="reduce"), scales, method="point_to_plane"))
+
+
 # -- gradients ----------------------------------------------------------------------------
 @query(_with("emb_a", "emb_b", more=f"n AS ({_ranked('emb_a', 'emb_b', 3)})") + "SELECT q.batch_id, q.row_id, sum(2 * (q.x - r.x)) AS gx, sum(2 * (q.y - r.y)) AS gy, sum(2 * (q.z - r.z)) AS gz FROM n JOIN emb_a q ON n.query_row = q.row_id JOIN emb_b r ON n.ref_row = r.row_id GROUP BY 1, 2")
 def grad_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -473,3 +590,88 @@ def grad_voxel_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gradients.voxel_gradient(voxelize(clouds.events(spark, sf_dir), 4.0))
 
 
+_NEAR1 = f"n AS MATERIALIZED ({_ranked('emb_a', 'emb_b', 1)}), m AS MATERIALIZED ({_ranked('emb_b', 'emb_a', 1)}), c AS (SELECT batch_id, count(*) AS n FROM emb_a GROUP BY 1)"
+
+
+@query(
+    _with("emb_a", "emb_b", more=_NEAR1 + ", f AS (SELECT q.batch_id, q.row_id, 2 * (q.x - r.x) AS gx, 2 * (q.y - r.y) AS gy, 2 * (q.z - r.z) AS gz FROM n JOIN emb_a q ON n.query_row = q.row_id JOIN emb_b r ON n.ref_row = r.row_id), b AS (SELECT r.row_id, sum(-2 * (q.x - r.x)) AS gx, sum(-2 * (q.y - r.y)) AS gy, sum(-2 * (q.z - r.z)) AS gz FROM m JOIN emb_b q ON m.query_row = q.row_id JOIN emb_a r ON m.ref_row = r.row_id GROUP BY 1)")
+    + "SELECT f.batch_id, f.row_id, " + ", ".join(f"{_q6(f'f.g{x} / (2 * n) + coalesce(b.g{x}, 0) / (2 * n)')} AS g{x}_q6" for x in "xyz") + " FROM f JOIN c USING (batch_id) LEFT JOIN b ON b.row_id = f.row_id"
+)
+def grad_chamfer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = gradients.chamfer_gradient(_A(spark, sf_dir), _B(spark, sf_dir))
+    return g.select("batch_id", "row_id", *[q6(c).alias(f"{c}_q6") for c in ("gx", "gy", "gz")])
+
+
+@query(_with("emb_a") + "SELECT batch_id, row_id, " + ", ".join(f"{_q6(' + '.join(f'CAST({_R0[i][j]!r} AS DOUBLE) * {c}' for i, c in enumerate('xyz')))} AS g{'xyz'[j]}_q6" for j in range(3)) + " FROM emb_a")
+def grad_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of half the squared length of moved points, whose gradient there is the point itself."""
+    g = _A(spark, sf_dir).points.select("batch_id", "row_id", *[F.col(c).alias(f"g{c}") for c in XYZ])
+    return gradients.transform_gradient(g, _R0).select("batch_id", "row_id", *[q6(c).alias(f"{c}_q6") for c in ("gx", "gy", "gz")])
+
+
+# -- sources, types and aligned values -------------------------------------------------------
+def _written(spark: SparkSession, rows: DataFrame, what: str) -> str:
+    """A folder of one text file of the rows' lines, in order."""
+    import tempfile
+    import uuid
+
+    top = spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="pcframe-")
+    path = f"{top}/{what}-{uuid.uuid4().hex}"
+    rows.coalesce(1).write.text(path)
+    return path
+
+
+@query(_with("emb_a") + "SELECT row_number() OVER (ORDER BY row_id) - 1 AS row, CAST(x AS FLOAT) AS x, CAST(y AS FLOAT) AS y, CAST(z AS FLOAT) AS z FROM emb_a")
+def ply_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An ASCII PLY file of a table's points, read again."""
+    p = _A(spark, sf_dir).points
+    head = "\n".join(["ply", "format ascii 1.0", f"element vertex {p.count()}", *[f"property float {c}" for c in XYZ], "end_header"])
+    lines = p.orderBy("row_id").select(F.concat_ws(" ", *XYZ).alias("value"))
+    first = spark.createDataFrame([(head,)], "value string")
+    return read_ply(spark, _written(spark, first.coalesce(1).unionByName(lines.coalesce(1)), "ply")).select("row", *XYZ)
+
+
+@query("SELECT i, j, v FROM (VALUES " + ", ".join(f"({i}, {j}, CAST({SHIFT[i][j]!r} AS DOUBLE))" for i in range(4) for j in range(4)) + ") t(i, j, v)")
+def matrix_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = "# a pose\n\n" + "\n".join("  ".join(map(repr, r)) + "  # row" for r in SHIFT)
+    m = read_matrix(spark, _written(spark, spark.createDataFrame([(text,)], "value string"), "matrix"))
+    return m.select(F.posexplode("m").alias("i", "row")).select("i", F.posexplode("row").alias("j", "v"))
+
+
+@query("SELECT CAST(b AS BIGINT) AS batch_id, CAST(b * 3 + n AS BIGINT) AS row_id, CAST(b + n AS DOUBLE) AS x, CAST(b * n AS DOUBLE) / 2 AS y, CAST(n AS DOUBLE) / 4 AS z FROM range(2) t(b), range(3) u(n)")
+def dense_clouds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_point_cloud(PointCloud.from_dense(spark, [[[float(b + n), b * n / 2, n / 4] for n in range(3)] for b in range(2)])).points
+
+
+@query(_with("emb_a", more="s AS (SELECT min(row_id) AS lo FROM emb_a)") + "SELECT CASE WHEN p < 100 THEN 0 WHEN p < 150 THEN 2 ELSE 3 END::BIGINT AS batch_id, p AS row_id FROM (SELECT row_number() OVER (ORDER BY row_id) - 1 AS p FROM emb_a)")
+def offsets_to_batch_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One packed table cut by offsets; the second entry is empty."""
+    p = _A(spark, sf_dir).points.drop("batch_id")
+    rows = numbered(p.withColumnRenamed("row_id", "old"), ["old"], "row_id").drop("old")
+    return PointCloud.from_offsets(rows, [0, 100, 100, 150, rows.count()]).batch_ids().select("batch_id", "row_id")
+
+
+@query(_with("emb_a") + "SELECT batch_id, row_id, x, CAST(row_id % 7 AS BIGINT) AS v FROM emb_a")
+def aligned_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = _A(spark, sf_dir)
+    return a.with_values(a.points.select("row_id", (F.col("row_id") % 7).alias("v"))).points.select("batch_id", "row_id", "x", "v")
+
+
+@query(_with("evt", more="f AS (SELECT batch_id, row_id, CAST(x AS FLOAT) AS x, CAST(y AS FLOAT) AS y, CAST(z AS FLOAT) AS z FROM evt)") + "SELECT batch_id, CAST(floor(x / CAST(0.7 AS FLOAT)) AS BIGINT) AS vx, CAST(floor(y / CAST(0.7 AS FLOAT)) AS BIGINT) AS vy, CAST(floor(z / CAST(0.7 AS FLOAT)) AS BIGINT) AS vz, count(*) AS n FROM f GROUP BY ALL")
+def voxelize_float32(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """float32 clouds divide in float32."""
+    return voxelize(clouds.events(spark, sf_dir).to("float"), 0.7).voxels.select("batch_id", *VOXEL, F.col("count").alias("n"))
+
+
+@query(_with("emb_a", "emb_b") + _ranked("emb_a", "emb_b", 2))
+def knn_float32(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dyadic coordinates are float32 numbers, so neighbors are the same."""
+    return knn(_B(spark, sf_dir).to("float"), _A(spark, sf_dir).to("float"), 2)
+
+
+@query(_with("emb_a") + "SELECT (SELECT count(*) FROM emb_a WHERE isnan(x) OR isinf(x)) > 0 AS any_odd, true AS valid")
+def validated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checks of a cloud and of a pair: they raise, or the cloud is as it says."""
+    a = _A(spark, sf_dir).validate()
+    check_pair(a, _B(spark, sf_dir), equal_lengths=True)
+    return a.points.agg(F.bool_or(F.isnan("x") | (F.abs("x") == float("inf"))).alias("any_odd")).withColumn("valid", F.lit(True))

@@ -52,7 +52,7 @@ def test_far_query_and_radius_edge(spark):
     assert wide(radius_neighbors(origin, q := line(spark, [[0.0999, 0.1001]]), 0.1), q, 1) == [(0, True), (-1, False)]
 
 
-@pytest.mark.parametrize("algorithm", ["batch", "grid", "local"])
+@pytest.mark.parametrize("algorithm", ["batch", "local", "blocks"])
 def test_equals_brute_force(spark, algorithm):
     g = np.random.default_rng(3)
     ref, q = g.random((2, 37, 3)), g.random((2, 11, 3))
