@@ -12,36 +12,55 @@ from pcframe.llm.common import cut, native_words
 BLOCK_DOCS, GROUP_BLOCKS = 1_024, 1_024
 #: The exponent is bisected to 2**-STEPS, STEPS_A_PASS steps with each pass over the sources.
 STEPS, STEPS_A_PASS = 24, 6
+#: The largest exponent that is tried for an entropy below that of the shares themselves.
+MOST = 64.0
 
 
-def exponent(sources: DataFrame, entropy: float | None = None, max_repeats: float | None = None) -> float:
-    """The exponent a in [0, 1] of weights proportional to share**a. sources: tokens (> 0) a row.
+def exponent(sources: DataFrame, entropy: float | None = None, max_repeats: float | None = None, budget: int | None = None) -> float:
+    """The exponent a of weights proportional to share**a. sources: tokens (> 0) a row.
 
     entropy: the a at which the weights' entropy, as a share of its maximum log(n), falls to
-    this (it falls as a grows). max_repeats: the least a at which no source is repeated more
-    than this times, if the largest is passed over once. Both only grow easier one way, so the
-    exponent is bisected; a pass evaluates all points of the next STEPS_A_PASS bisections at
-    once, as one aggregate over sources, and only their values come to the driver.
+    this (it falls as a grows; targets below that of the shares themselves ask for an a above 1).
+    max_repeats: the least a in [0, 1] at which no source is repeated more than this times: in a
+    mixture of budget tokens or, without a budget, if the largest source is passed over once.
+    Each only grows easier one way, so the exponent is bisected; a pass evaluates all points of
+    the next STEPS_A_PASS bisections at once, as one aggregate over sources, and only their
+    values come to the driver. ValueError: a target that no exponent up to MOST reaches, or a
+    budget that repeats even the shares as they are more often.
     """
     if (entropy is None) == (max_repeats is None):
         raise ValueError("give either entropy or max_repeats")
-    top = sources.agg(F.max("tokens").alias("top"), F.min("tokens").alias("least"), F.count("*").alias("n")).first()
-    if not top["n"] or top["n"] == 1:
+    if entropy is not None and not 0 <= entropy <= 1:
+        raise ValueError("entropy is a share of its maximum, in [0, 1]")
+    top = sources.agg(F.max("tokens").alias("top"), F.min("tokens").alias("least"), F.sum("tokens").alias("all"), F.count("*").alias("n")).first()
+    if not top["n"]:
+        return 1.0
+    if max_repeats is not None and (max_repeats < 1 if budget is None else budget > max_repeats * top["all"]):
+        raise ValueError("max_repeats can't hold: the mixture repeats every source more often")
+    if top["n"] == 1:
         return 1.0
 
     def holds(points: list[float]) -> list[bool]:
         """Whether a may be as low as this: entropy at most the target, or repeats within the limit."""
-        if max_repeats is not None:  # the smallest source repeats most: (top / least)**(1 - a) times
+        if max_repeats is not None and budget is None:  # the smallest source repeats most: (top / least)**(1 - a) times
             return [(top["top"] / top["least"]) ** (1 - a) <= max_repeats * (1 + 1e-12) for a in points]
         x = F.log(F.col("tokens") / F.lit(float(top["top"])))
         grid = sources.select(x.alias("x"), F.explode(F.array(*map(F.lit, points))).alias("a"))
         z, zx = F.sum(F.exp(F.col("a") * F.col("x"))), F.sum(F.exp(F.col("a") * F.col("x")) * F.col("a") * F.col("x"))
-        got = {r["a"]: r["h"] for r in grid.groupBy("a").agg(((F.log(z) - zx / z) / F.log(F.lit(float(top["n"])))).alias("h")).collect()}
-        return [got[a] <= entropy for a in points]
+        got = {r["a"]: r for r in grid.groupBy("a").agg(z.alias("z"), ((F.log(z) - zx / z) / F.log(F.lit(float(top["n"])))).alias("h")).collect()}
+        if entropy is not None:
+            return [got[a]["h"] <= entropy + 1e-12 for a in points]
+        # the smallest source's tokens in the mixture, over those it has
+        return [budget * (top["least"] / top["top"]) ** a / got[a]["z"] <= max_repeats * top["least"] * (1 + 1e-12) for a in points]
 
-    low, width = 0.0, 1.0
     if holds([0.0])[0]:
         return 0.0
+    low, high = 0.0, 1.0
+    while entropy is not None and not holds([high])[0]:
+        if high >= MOST:
+            raise ValueError(f"no exponent up to {MOST} brings the entropy down to {entropy}")
+        low, high = high, 2 * high
+    width = high - low
     for _ in range(0, STEPS, STEPS_A_PASS):
         parts = 1 << STEPS_A_PASS
         points = [low + width * i / parts for i in range(1, parts)]
@@ -60,8 +79,8 @@ def mix(docs: DataFrame, entropy: float | None = None, max_repeats: float | None
     epoch, mix_position (or, with keep_columns, the columns of docs).
 
     Tokens are words. Source shares are raised to an exponent (see exponent()) and normalised.
-    budget: tokens of the mixture; None is the least at which every source is passed over at
-    least once, so that no document is left out. A source's budget, rounded down, is spent on
+    budget: tokens of the mixture, in which max_repeats holds too; None is the least at which
+    every source is passed over at least once, so that no document is left out. A source's budget, rounded down, is spent on
     whole passes over its blocks, and a last pass until the budget is reached (the document that
     reaches it is in). Each pass has its own permutation of the blocks, and of the documents in
     a block, by hashes of the seed and the pass. mix_position is the share of its source's
@@ -76,13 +95,14 @@ def mix(docs: DataFrame, entropy: float | None = None, max_repeats: float | None
     base = docs.select(*([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")] if keep_columns else []), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.greatest(F.size(native_words(F.col(text_col))), F.lit(1)).cast("long").alias("n_tokens"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("__h"))
     slim = base.drop("__row")
     per = cut(slim.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")), "sources")
-    a = exponent(per, entropy, max_repeats)
-    total = per.agg(F.max("tokens").alias("top"), F.sum(F.pow(F.col("tokens").cast("double"), F.lit(a))).alias("z")).first()
-    if not total["top"]:
-        total = {"top": 1, "z": 1.0}
-    weight = F.pow(F.col("tokens").cast("double"), F.lit(a)) / F.lit(float(total["z"]))
-    # the largest source's weight is the least above its share: it sets the budget of one pass
-    least = float(total["top"]) / (float(total["top"]) ** a / float(total["z"]))
+    a = exponent(per, entropy, max_repeats, budget)
+    ends = per.agg(F.max("tokens").alias("top"), F.min("tokens").alias("low")).first()
+    top, low = (float(ends[c] or 1) for c in ("top", "low"))
+    power = F.pow(F.col("tokens") / F.lit(top), F.lit(a))  # of shares of the largest, so that none overflows
+    z = float(per.agg(F.sum(power)).first()[0] or 1.0)
+    weight = power / F.lit(z)
+    # of tokens / weight, the largest source's is the most (up to a = 1; beyond, the smallest's)
+    least = z * max(top, low * (low / top) ** -a)
     want = float(budget) if budget is not None else least
     # rounding must not cost the largest source a document
     per = per.withColumn("weight", weight).withColumn("budget", F.floor(F.col("weight") * F.lit(want) + F.lit(1e-6 if budget is not None else 0.5)).cast("long"))
