@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pcframe.llm import compression_bands, segment_lines, sum_of_squares, super_minhash, temperature_mixing
-from pcframe.llm.common import WORD, cut, table
+from pcframe.llm.common import WORD, cut, fresh_name, table
 from pcframe.llm.queries import tokenizer_path
 
 #: How often a small source may be repeated so that sources come nearer to each other.
@@ -20,32 +20,40 @@ MAX_REPEATS = 2.0
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the compression bands reject go."""
+    """Documents that the base rules or the compression bands reject go, those of null or empty
+    text among them; repeated rows are judged each."""
     found = compression_bands.quality(docs, passthrough=True)
-    return found.where("__quality.kept").drop("__quality")
+    verdict = found.columns[-1]
+    return found.where(F.col(f"`{verdict}`.kept")).drop(verdict)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that stand before go; so do documents in which nothing but such lines had words.
-    n_chars is that of the text that is left."""
+    n_chars, where there is one, is that of the text that is left. Rows of null text go; those of
+    null id take no part and stay."""
     out = segment_lines.dedup(docs, keep_columns=True).where(F.col("text").rlike(WORD))
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    kept = [F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
+    return out.select(*kept)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (the least id) stays."""
+    """One document of each group of near-duplicates (the least id) stays. Shingles have five
+    words, as stages on word shingles take unless a contract says otherwise (op7's says four).
+    Rows of an id go or stay together; rows of null id or without words stay."""
     found = super_minhash.near_duplicates(docs)
-    gone = cut(found.where("not kept").select(F.col("doc_id").alias("__gone")), "gone")
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    name = fresh_name(docs, "__gone")
+    gone = cut(found.where("not kept").select(F.col("doc_id").alias(name)).distinct(), "gone")
+    return docs.join(gone, docs["doc_id"] == gone[name], "left_anti")
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of small sources are repeated up to MAX_REPEATS times; none is left out."""
+    """Documents of small sources are repeated up to MAX_REPEATS times; none is left out. Null
+    sources are a source, null or empty texts count as one token."""
     return temperature_mixing.mix(docs, max_repeats=MAX_REPEATS, keep_columns=True)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in training sequences."""
+    """Pieces of documents in training sequences; a null or empty text is its end id alone."""
     return sum_of_squares.pack(docs, tokenizer_path())
 
 
