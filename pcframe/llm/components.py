@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pcframe.llm.common import cut
+from pcframe.llm.common import cut, discard
 
 
 class UnionFind(dict):
@@ -57,7 +57,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         # small star: u's lesser neighbours and u itself go to the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        e = cut(small.mapInArrow(_contract, "u long, v long").distinct(), "stars")
+        last, e = e, cut(small.mapInArrow(_contract, "u long, v long").distinct(), "stars")
+        discard(last)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.count_distinct("u")).first()
         roots_free = e.join(e.select(F.col("u").alias("v")).distinct(), "v", "left_semi").isEmpty()
         if tuple(now) == before or (now[0] == now[2] and roots_free):
