@@ -41,13 +41,19 @@ def kabsch(h: np.ndarray, source_mean: np.ndarray, target_mean: np.ndarray, sour
     return r, t, scale, rank
 
 
-def solve_pose(jtj: np.ndarray, jtr: np.ndarray) -> np.ndarray | None:
-    """The 6-vector that solves jtj x = -jtr, or None if it can't be solved."""
+def solve_poses(jtj: np.ndarray, jtr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The 6-vectors that solve jtj x = -jtr, a row each, and which could be solved."""
+    x = np.zeros_like(jtr)
     try:
-        x = np.linalg.solve(jtj, -jtr)
-    except np.linalg.LinAlgError:
-        return None
-    return x if np.isfinite(x).all() else None
+        x = np.linalg.solve(jtj, -jtr[..., None])[..., 0]
+    except np.linalg.LinAlgError:  # at least one is singular: each by itself
+        for i in range(len(jtj)):
+            try:
+                x[i] = np.linalg.solve(jtj[i], -jtr[i])
+            except np.linalg.LinAlgError:
+                x[i] = np.nan
+    good = np.isfinite(x).all(1)
+    return np.where(good[:, None], x, 0.0), good
 
 
 def homogeneous(r: np.ndarray, t: np.ndarray) -> np.ndarray:

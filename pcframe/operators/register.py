@@ -10,10 +10,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pcframe.functions.linalg import homogeneous, kabsch, solve_pose
+from pcframe.functions.linalg import kabsch, solve_poses
 from pcframe.model import NORMALS, XYZ, PointCloud, as_point_cloud, check_pair
 from pcframe.operators.neighbors import NeighborIndex
-from pcframe.operators.transforms import IDENTITY, pose_to_matrix, transform
+from pcframe.operators.transforms import IDENTITY, pose_matrices, transform
 from pcframe.plans import search
 
 METHODS = {"point_to_point": 3, "point_to_plane": 6}
@@ -91,24 +91,25 @@ def _sums(method: str, kernel: Kernel) -> list[Column]:
     return [*out, F.array(*[F.sum(t) for t in terms]).alias("sums")]
 
 
-def delta_of(method: str, sums: np.ndarray, origin: np.ndarray) -> np.ndarray | None:
-    """The 4x4 step that an evaluation's sums ask for; None if it can't be solved."""
+def deltas_of(method: str, sums: np.ndarray, origin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The 4x4 steps that evaluations' sums (a row each) ask for, and which of them are solved."""
+    n = len(sums)
+    m = np.tile(np.eye(4), (n, 1, 1))
+    if not n:
+        return m, np.zeros(0, bool)
     if method == "point_to_point":
-        w = sums[0]
-        if not w > 0:
-            return None
-        ms, mt, h = sums[1:4] / w, sums[4:7] / w, sums[7:16].reshape(3, 3)
-        r, t, _, _ = kabsch((h - w * np.outer(ms, mt))[None], (ms + origin)[None], (mt + origin)[None])
-        m = homogeneous(r[0], t[0])
+        w = sums[:, 0]
+        good = w > 0
+        over = np.where(good, w, 1.0)[:, None]
+        ms, mt, h = sums[:, 1:4] / over, sums[:, 4:7] / over, sums[:, 7:16].reshape(-1, 3, 3)
+        m[:, :3, :3], m[:, :3, 3], _, _ = kabsch(h - w[:, None, None] * ms[:, :, None] * mt[:, None, :], ms + origin, mt + origin)
     else:
-        jtj = np.zeros((6, 6))
-        jtj[np.triu_indices(6)] = sums[:21]
-        jtj += np.triu(jtj, 1).T
-        x = solve_pose(jtj, sums[21:27])
-        if x is None:
-            return None
-        m = np.array(pose_to_matrix(x))
-    return m if np.isfinite(m).all() else None
+        jtj = np.zeros((n, 6, 6))
+        up = np.triu_indices(6)
+        jtj[:, up[0], up[1]] = jtj[:, up[1], up[0]] = sums[:, :21]
+        x, good = solve_poses(jtj, sums[:, 21:27])
+        m = pose_matrices(x)
+    return m, good & np.isfinite(m).all((1, 2))
 
 
 _STATE = "batch_id long, m array<array<double>>, active boolean, converged boolean, iterations int, fitness double, rmse double"
@@ -124,42 +125,54 @@ class Rules:
 
 
 @dataclass
-class State:
-    """One entry between turns."""
+class States:
+    """Entries between turns, a row each."""
 
     m: np.ndarray
-    active: bool = True
-    converged: bool = False
-    iterations: int = 0
-    fitness: float = 0.0
-    rmse: float = 0.0
-
-    def advance(self, rules: Rules, first: bool, hits: int, error: float, length: int, sums: np.ndarray, origin: np.ndarray) -> None:
-        """One turn, from the evaluation under the motion so far."""
-        fitness, rmse = hits / length, float(np.sqrt(error / hits)) if hits else 0.0
-        self.active = self.active and hits >= METHODS[rules.method]
-        if self.active and not first and abs(fitness - self.fitness) < rules.relative_fitness and abs(rmse - self.rmse) < rules.relative_rmse:
-            self.active, self.converged = False, True
-        if self.active:
-            step = delta_of(rules.method, sums, origin)
-            self.active = step is not None
-            if step is not None:
-                self.m, self.iterations = step @ self.m, self.iterations + 1
+    active: np.ndarray
+    converged: np.ndarray
+    iterations: np.ndarray
+    fitness: np.ndarray
+    rmse: np.ndarray
+
+    @classmethod
+    def at(cls, m: np.ndarray) -> States:
+        """Before the first turn, from motions (n, 4, 4)."""
+        n = len(m)
+        return cls(m, np.ones(n, bool), np.zeros(n, bool), np.zeros(n, np.int32), np.zeros(n), np.zeros(n))
+
+    def advance(self, rules: Rules, first: bool, hits: np.ndarray, error: np.ndarray, length: np.ndarray, sums: np.ndarray, origin: np.ndarray) -> None:
+        """One turn, from the evaluations under the motions so far."""
+        fitness, rmse = hits / length, np.sqrt(error / np.maximum(hits, 1)) * (hits > 0)
+        self.active = self.active & (hits >= METHODS[rules.method])
+        if not first:
+            still = self.active & (np.abs(fitness - self.fitness) < rules.relative_fitness) & (np.abs(rmse - self.rmse) < rules.relative_rmse)
+            self.converged, self.active = self.converged | still, self.active & ~still
+        moving = np.flatnonzero(self.active)
+        steps, good = deltas_of(rules.method, sums[moving], origin[moving])
+        self.active[moving] = good
+        moved = moving[good]
+        self.m[moved] = steps[good] @ self.m[moved]
+        self.iterations[moved] += 1
         self.fitness, self.rmse = fitness, rmse
 
+    def frame(self, batch_id) -> pd.DataFrame:
+        return pd.DataFrame({"batch_id": batch_id, "m": self.m.tolist(), "active": self.active, "converged": self.converged, "iterations": self.iterations, "fitness": self.fitness, "rmse": self.rmse})
+
 
 def _turn(rules: Rules, first: bool):
     """A turn for rows of state joined with their evaluation."""
+    width = 16 if rules.method == "point_to_point" else 27
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for r in b.itertuples(index=False):
-                s = State(np.array([list(x) for x in r.m]), bool(r.active), bool(r.converged), int(r.iterations), r.fitness, r.rmse)
-                hits = 0 if pd.isna(r.hits) else int(r.hits)
-                s.advance(rules, first, hits, r.error if hits else 0.0, r.length, np.asarray(r.sums if hits else [], float), np.array([r.ox, r.oy, r.oz]))
-                rows.append((r.batch_id, s.m.tolist(), s.active, s.converged, s.iterations, s.fitness, s.rmse))
-            yield pd.DataFrame(rows, columns=["batch_id", "m", "active", "converged", "iterations", "fitness", "rmse"])
+            if b.empty:
+                continue
+            s = States(np.array([np.stack(m) for m in b["m"]]), *(b[c].to_numpy().copy() for c in ("active", "converged", "iterations", "fitness", "rmse")))
+            none = np.zeros(width)
+            sums = np.array([none if x is None else np.asarray(x, float) for x in b["sums"]])
+            s.advance(rules, first, b["hits"].fillna(0).to_numpy(float), b["error"].fillna(0.0).to_numpy(float), b["length"].to_numpy(float), sums, b[["ox", "oy", "oz"]].to_numpy(float))
+            yield s.frame(b["batch_id"])
 
     return run
 
@@ -174,9 +187,8 @@ def _local(rules: Rules, kernel: Kernel, max_distance: float, max_iterations: in
 
     def evaluate(m: np.ndarray, p: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         q = _moved(m, p)
-        i, j, d2 = search.nearest(q, t, 1)
-        near = d2 <= max_distance * max_distance
-        return q[i[near]], j[near], d2[near]
+        i, j, d2 = search.nearest(q, t, 1, max_distance * max_distance)
+        return q[i], j, d2
 
     def sums_of(q: np.ndarray, r: np.ndarray, n: np.ndarray | None, d2: np.ndarray, origin: np.ndarray) -> np.ndarray:
         if n is None:
@@ -194,15 +206,15 @@ def _local(rules: Rules, kernel: Kernel, max_distance: float, max_iterations: in
         b = b.sort_values("row_id", ignore_index=True)
         p, t = a[list(XYZ)].to_numpy(float), b[list(XYZ)].to_numpy(float)
         n = b[list(NORMALS)].to_numpy(float) if rules.method == "point_to_plane" else None
-        origin, s = t.mean(0), State(np.array([list(x) for x in a["m"].iloc[0]]))
+        origin, s = t.mean(0), States.at(np.stack(a["m"].iloc[0])[None])
         for turn in range(max_iterations):
-            q, j, d2 = evaluate(s.m, p, t)
-            s.advance(rules, turn == 0, len(j), float(d2.sum()), len(p), sums_of(q, t[j], None if n is None else n[j], d2, origin), origin)
-            if not s.active:
+            q, j, d2 = evaluate(s.m[0], p, t)
+            s.advance(rules, turn == 0, np.array([len(j)]), np.array([d2.sum()]), np.array([len(p)]), sums_of(q, t[j], None if n is None else n[j], d2, origin)[None], origin[None])
+            if not s.active[0]:
                 break
-        _, j, d2 = evaluate(s.m, p, t)
-        s.fitness, s.rmse = len(j) / len(p), float(np.sqrt(d2.sum() / len(j))) if len(j) else 0.0
-        return pd.DataFrame([(a["batch_id"].iloc[0], s.m.tolist(), s.active, s.converged, s.iterations, s.fitness, s.rmse)], columns=["batch_id", "m", "active", "converged", "iterations", "fitness", "rmse"])
+        _, j, d2 = evaluate(s.m[0], p, t)
+        s.fitness, s.rmse = np.array([len(j) / len(p)]), np.array([np.sqrt(d2.sum() / len(j)) if len(j) else 0.0])
+        return s.frame(a["batch_id"].iloc[:1].to_numpy())
 
     return run
 

@@ -6,6 +6,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import replace
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,6 +76,16 @@ def pose_to_matrix(pose: Sequence[float]) -> list[list[float]]:
     return [[c * b, c * v * u - w * a, c * v * a + w * u, t[0]], [w * b, w * v * u + c * a, w * v * a - c * u, t[1]], [-v, b * u, b * a, t[2]], [0.0, 0.0, 0.0, 1.0]]
 
 
+def pose_matrices(poses: np.ndarray) -> np.ndarray:
+    """The same for an array of poses, a row each: (n, 4, 4)."""
+    (a, b, c), (u, v, w) = np.cos(poses[:, :3]).T, np.sin(poses[:, :3]).T
+    m = np.tile(np.eye(4), (len(poses), 1, 1))
+    rows = [[c * b, c * v * u - w * a, c * v * a + w * u], [w * b, w * v * u + c * a, w * v * a - c * u], [-v, b * u, b * a]]
+    m[:, :3, :3] = np.moveaxis(np.array(rows), 2, 0)
+    m[:, :3, 3] = poses[:, 3:]
+    return m
+
+
 def rigid_inverse(m: Sequence[Sequence[float]]) -> list[list[float]]:
     r = [[m[j][i] for j in range(3)] for i in range(3)]
     return [[*r[i], -sum(r[i][j] * m[j][3] for j in range(3))] for i in range(3)] + [[0.0, 0.0, 0.0, 1.0]]
