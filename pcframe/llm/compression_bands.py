@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pcframe.llm.common import as_bytes, small_batches
+from pcframe.llm.common import as_bytes, fresh_name, small_batches
 
 _SYMBOLS = re.compile(rb"[#*$%&|<>]")
 _CONTINUATION = bytes(range(0x80, 0xC0))
@@ -24,7 +24,9 @@ class Bands:
     """Limits on raw/compressed size, by length.
 
     whole: (least bytes, lowest ratio, highest ratio), the last row whose length a text
-    reaches holds. Short texts compress less, long ones more. chunk: the same limits for
+    reaches holds. Short texts compress less, long ones more; below 200 bytes the frame's own
+    bytes decide (ratios of sound texts go from 0.5 to 1.5), so no ratio tells anything there and
+    the base rules judge alone. chunk: the same limits for
     every full chunk of chunk_bytes (a shorter tail counts with the whole text only); a
     text fails if more than max_bad_chunks of its chunks, as a share, lie outside.
     """
@@ -81,7 +83,8 @@ _SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_re
 
 def quality(docs: DataFrame, bands: Bands = Bands(), id_col: str = "doc_id", text_col: str = "text", passthrough: bool = False) -> DataFrame:
     """One row per input row: id, base counts, base_failed, kept, and the two ratios; with
-    passthrough all columns of docs, and these results as the struct __quality.
+    passthrough all columns of docs, and these results as a struct that the last column is
+    (__quality, or a longer name where docs has that).
 
     Nulls: a null text is an empty one (no words: base_failed); a null id is returned as it is.
     Repeated rows each get a row; an empty table gives an empty one. Other columns are left
@@ -94,7 +97,7 @@ def quality(docs: DataFrame, bands: Bands = Bands(), id_col: str = "doc_id", tex
     carried = list(range(len(rows.columns))) if passthrough else [0]
     out = T.StructType([rows.schema[i] for i in carried])
     results = T.StructType.fromDDL(_SCHEMA)
-    out = out.add("__quality", results) if passthrough else T.StructType(out.fields + results.fields)
+    out = out.add(fresh_name(docs, "__quality"), results) if passthrough else T.StructType(out.fields + results.fields)
     kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pcframe.llm.common import attempt_name, cut, fresh_dir, open_fs
+from pcframe.llm.common import attempt_name, cut, fresh_dir, open_fs, release, small_batches
 from pcframe.llm.token_ids import TokenIds
 
 #: The vocabulary's own end-of-document id; text that spells it is plain text to the writer.
@@ -40,6 +40,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "do
             first += len(b)
         if out:
             out.close()
+        release()
 
     return rows.mapInArrow(run, "file string, first long, written long, ids array<long>")
 
@@ -91,6 +92,7 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     table gives no rows; other columns are left out. A document may be longer than any block.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     folder = fresh_dir(spark, "tokens")
     lots = cut(write_tokens(docs, tokenizer, folder, id_col, text_col), "lots")
     files = lots.groupBy("file").agg(F.max("written").alias("n_tokens"))

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pcframe.llm.common import release, small_batches
 from pcframe.llm.token_ids import TokenIds
 
 WINDOW = 2048
@@ -106,6 +107,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, id_col: str = "d
     repeated rows are packed each. An empty table gives no rows; other columns are left out.
     A document longer than the window is cut at multiples of it, whatever its length.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col), F.col(text_col))
     ids_of = rows.schema[0]
     ddl = f"`{ids_of.name}` {ids_of.dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
@@ -134,5 +136,6 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, id_col: str = "d
         found += [p if with_ids else (*p[:7], None) for p in packer.close()]
         if found:
             yield batch_of(found)
+        release()
 
     return rows.mapInArrow(run, ddl)
