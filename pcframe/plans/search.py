@@ -243,7 +243,8 @@ def _dealt(side: DataFrame, blocks: Blocks, prefix: str) -> DataFrame:
 
 
 def indexed(r: DataFrame, sizes: DataFrame) -> tuple[DataFrame, Blocks]:
-    """The reference keyed by block: cut where entries (sizes: batch_id, length) are large."""
+    """The reference keyed by block: cut where entries (sizes: batch_id, length) are large. Of more
+    large entries than the sample can cut, the largest are; the others are blocks enough."""
     large = [(int(x[0]), int(x[1])) for x in sizes.where(F.col("length") > LOCAL_POINTS).orderBy(F.col("length").desc()).limit(SAMPLE // LEAST_SAMPLE).select("batch_id", "length").collect()]
     blocks = Blocks.of(r, large)
     return _dealt(r, blocks, "r"), blocks
