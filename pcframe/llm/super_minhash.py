@@ -19,7 +19,7 @@ SLOTS, BANDS, ROWS = 127, 25, 5
 #: Bytes of text that are shingled, and elements and sets whose signatures are made, at once.
 TEXT_BYTES, ELEMENTS, SETS = 2_000_000, 250_000, 4_096
 #: Shingles of the members of a candidate group that one task verifies at once.
-CHUNK_SHINGLES = 250_000
+CHUNK_SHINGLES = 100_000
 #: Ids of candidate documents (8 bytes each) that are broadcast at most, to leave the texts of
 #: all others where they are; more ids meet the texts by a shuffle.
 BROADCAST_IDS = 1_000_000
@@ -221,8 +221,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (8
     # an id that stands in several classes links them
     several = full.groupBy("doc_id").agg(F.min(F.struct("d1", "d2")).alias("x"), F.max(F.struct("d1", "d2")).alias("y")).where("x <> y").select("doc_id")
     several = full.join(several, "doc_id", "left_semi").join(classes.select("d1", "d2", "rep"), ["d1", "d2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    links = links.unionByName(cut(several.where("a <> b"), "ids"))
-    comps = cut(components(links), "components")
+    links = links.unionByName(several.where("a <> b"))
+    comps = components(links)
     if not groups.where("chunks > 1").isEmpty():
         wide = pairs.join(groups.where("chunks > 1"), "head")
         own = comps.select(F.col("node").alias("__i"), F.col("component").alias("c"))
@@ -230,7 +230,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (8
         wide = wide.join(own, F.col("member.doc_id") == F.col("__i"), "left").join(of_head, F.col("head.doc_id") == F.col("__h"), "left")
         far = wide.where("coalesce(c, member.doc_id) <> coalesce(ch, head.doc_id)").select("member", "head", every_chunk)
         again = dealt.join(far.select("head").distinct(), "head", "left_semi").join(far, ["member", "head", "chunk"], "left_anti").unionByName(far)
-        comps = cut(components(links.unionByName(verify(again))), "components")
+        comps = components(links.unionByName(verify(again)))
     discard(pairs, groups, blobs)
     named = classes.select("d1", "d2", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     rest = sk.where(~grouped).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
