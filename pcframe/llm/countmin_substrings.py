@@ -23,8 +23,10 @@ DEPTH, LOAD = 2, 3
 #: that are aimed at in between (so that what a lot has for a range stays worth a row).
 LEAST_RANGE, MOST_RANGE, RANGES = 1 << 22, 1 << 28, 4_096
 #: Windows of a lot's sketch, flagged windows that a task groups before it sends them on, windows
-#: of a bucket of the exact pass, folders that answers are filed in.
-LOT, FLAGGED, BUCKET, FOLDERS = 1_000_000, 500_000, 1_000_000, 4_096
+#: of a bucket of the exact pass.
+LOT, FLAGGED, BUCKET = 1_000_000, 500_000, 1_000_000
+#: Folders that answers are filed in at most, and partitions that share one (all that a task reads).
+FOLDERS, SHARED = 4_096, 4
 #: Bytes of text whose windows are hashed at once.
 TEXT_BYTES = 2_000_000
 
@@ -162,16 +164,16 @@ def _answers(size: int):
 
 
 def _file(df: DataFrame, path: str) -> None:
-    """Write rows of a partition (pid) so that its task finds them: in folder pid % FOLDERS."""
-    folder = F.pmod("pid", F.lit(FOLDERS)).alias("folder")
-    df.select(folder, *df.columns).repartition("pid").sortWithinPartitions("folder", "pid").write.option("compression", "none").partitionBy("folder").parquet(path)
+    """Write rows of a partition (pid) so that its task finds them: SHARED partitions a folder."""
+    folder = F.pmod(F.floor(F.col("pid") / SHARED), F.lit(FOLDERS)).cast("int")
+    df.select(folder.alias("folder"), *df.columns).repartition("folder").sortWithinPartitions("folder", "pid").write.option("compression", "none").partitionBy("folder").parquet(path)
 
 
-def _own(path: str, pid: int, folders: int) -> Iterator[dict]:
+def _own(path: str, pid: int, shared: int, folders: int) -> Iterator[dict]:
     """The rows filed for a partition."""
     import pyarrow.fs as pafs
 
-    fs, top = open_fs(f"{path}/folder={pid % folders}")
+    fs, top = open_fs(f"{path}/folder={pid // shared % folders}")
     for info in fs.get_file_info(pafs.FileSelector(top, allow_not_found=True)):
         if info.path.endswith(".parquet"):
             with fs.open_input_file(info.path) as f:
@@ -268,7 +270,7 @@ def _flagged(path: str, width: int, size: int, k: int, buckets: int):
             yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(kind, pa.int32()), pa.array(blobs, pa.binary())], ["g", "kind", "blob"])
 
         answers: dict[int, dict[tuple[int, int], bytes]] = {}
-        for x in _own(path, pid, FOLDERS):
+        for x in _own(path, pid, SHARED, FOLDERS):
             answers.setdefault(x["lot"], {})[x["row"], x["r"]] = x["blob"]
         for number, lot in enumerate(_lots(batches, k, True, LOT)):
             docs, rows, counts, h0, h1 = lot.arrays()
@@ -306,7 +308,7 @@ def _exact(group: pa.Table) -> pa.Table:
 def _remove(path: str, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pid, row, found = _partition(), 0, {}
-        for x in _own(path, pid, FOLDERS):
+        for x in _own(path, pid, SHARED, FOLDERS):
             doc, at, n, gaps = _unpack(x["blob"], 4)
             pos, ends = _unruns(doc, at, n, gaps)[2], np.cumsum(n.astype(np.int64))
             for d, r, end, m in zip(doc.view(np.int64).tolist(), at.view(np.int64).tolist(), ends.tolist(), n.tolist()):
