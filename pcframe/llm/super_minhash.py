@@ -172,6 +172,11 @@ def _verify(num: int, den: int):
     return run
 
 
+def _counted(df: DataFrame) -> DataFrame:
+    """Marked for broadcast, if it (a table, or a small part of one) has no more rows than BROADCAST_IDS."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -203,9 +208,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (8
     pairs = cut(members.join(heads, "band").groupBy("member", "head").agg(F.first("n").alias("n")), "candidates")
     groups = pairs.groupBy("head").agg(F.greatest(F.ceil(F.sum("n") / F.lit(CHUNK_SHINGLES)), F.lit(1)).cast("int").alias("chunks"))
     groups = cut(groups, "groups")
-    wanted = pairs.select("member.doc_id").distinct()
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
+    wanted = _counted(pairs.select("member.doc_id").distinct())
     sets = d.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, d1 long, blob binary").dropDuplicates(["doc_id", "d1"])
     blobs = cut(sets, "sets")
     sets = blobs.withColumnRenamed("doc_id", "__i")
@@ -213,7 +216,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (8
     num, den = threshold
     of_set = (F.col("member.doc_id") == F.col("__i")) & (F.col("member.d1") == F.col("d1"))
     verify = lambda dealt: cut(dealt.join(sets, of_set).select("head", "chunk", "member.doc_id", "blob").groupBy("head", "chunk").applyInArrow(_verify(num, den), "a long, b long"), "links")
-    dealt = pairs.join(groups, "head").select("member", "head", F.pmod(F.xxhash64("member", "head"), F.col("chunks")).cast("int").alias("chunk"))
+    dealt = pairs.join(_counted(groups), "head").select("member", "head", F.pmod(F.xxhash64("member", "head"), F.col("chunks")).cast("int").alias("chunk"))
     # the head itself is in every chunk
     every_chunk = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")
     dealt = dealt.where("member <> head").unionByName(groups.select(F.col("head").alias("member"), "head", every_chunk))
@@ -224,12 +227,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (8
     links = links.unionByName(several.where("a <> b"))
     comps = components(links)
     if not groups.where("chunks > 1").isEmpty():
-        wide = pairs.join(groups.where("chunks > 1"), "head")
         own = comps.select(F.col("node").alias("__i"), F.col("component").alias("c"))
         of_head = comps.select(F.col("node").alias("__h"), F.col("component").alias("ch"))
-        wide = wide.join(own, F.col("member.doc_id") == F.col("__i"), "left").join(of_head, F.col("head.doc_id") == F.col("__h"), "left")
-        far = wide.where("coalesce(c, member.doc_id) <> coalesce(ch, head.doc_id)").select("member", "head", every_chunk)
-        again = dealt.join(far.select("head").distinct(), "head", "left_semi").join(far, ["member", "head", "chunk"], "left_anti").unionByName(far)
+        # a group meets its head's component before its members, of which there may be many, do
+        wide = groups.where("chunks > 1").join(of_head, F.col("head.doc_id") == F.col("__h"), "left")
+        wide = cut(wide.select("head", "chunks", F.coalesce("ch", "head.doc_id").alias("ch")), "wide-groups")
+        far = pairs.join(_counted(wide), "head").join(own, F.col("member.doc_id") == F.col("__i"), "left")
+        far = cut(far.where("coalesce(c, member.doc_id) <> ch").select("member", "head", every_chunk), "far")
+        again = dealt.join(_counted(far.select("head").distinct()), "head", "left_semi").join(far, ["member", "head", "chunk"], "left_anti").unionByName(far)
         comps = components(links.unionByName(verify(again)))
     discard(pairs, groups, blobs)
     named = classes.select("d1", "d2", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
