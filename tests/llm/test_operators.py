@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from pcframe.llm import capture_index, components, compression_bands, countmin_substrings, scaled_sketch, segment_lines, separator_scan, sum_of_squares, super_minhash, temperature_mixing, token_ids, zstd_classifier
+from pcframe.llm import capture_index, common, components, compression_bands, countmin_substrings, scaled_sketch, segment_lines, separator_scan, sum_of_squares, super_minhash, temperature_mixing, token_ids, zstd_classifier
 from pcframe.llm import words as words_module
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -744,3 +744,16 @@ def test_prefilter_flags_few_windows_in_any_number_of_ranges(monkeypatch):
             hit = countmin_substrings._estimated_repeats(h, answers, width, size)
             assert hit[20_000:].all() and 0.05 < hit[:20_000].mean() < 0.11
         assert countmin_substrings._estimated_repeats(lots[0], {}, width, size).all()
+
+
+@pytest.mark.parametrize("master, local", [("local", True), ("local[4]", True), ("local-cluster[3,2,3000]", False), ("yarn", False), ("spark://host:7077", False)])
+def test_shared_folder_is_asked_for_on_clusters(monkeypatch, master, local):
+    from types import SimpleNamespace
+
+    made = []
+    monkeypatch.setattr(common.tempfile, "mkdtemp", lambda **_: made.append(1) or "/nowhere")
+    context = SimpleNamespace(master=master, setCheckpointDir=lambda _: None)
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: "", set=lambda *_: None), sparkContext=context)
+    with pytest.raises(AttributeError if local else ValueError):  # no JVM behind this session
+        common.shared_dir(session)
+    assert bool(made) == local
