@@ -169,3 +169,12 @@ def test_pyramid_checks(spark):
     assert [[r.length for r in level.clouds.orderBy("batch_id").collect()] for level in p.levels] == [[3, 1], [2, 1]]
     rows = [r.row_id for level in p.levels for r in level.points.collect()]
     assert len(set(rows)) == len(rows) == 7
+
+
+@pytest.mark.parametrize("master", ["yarn", "spark://host:7077", "local-cluster[3,2,3000]"])
+def test_shared_folder_is_asked_for_on_clusters(master):
+    from types import SimpleNamespace
+
+    context = SimpleNamespace(master=master, getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        search.keep(SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=context)))
