@@ -57,10 +57,11 @@ def initial_transforms(cloud: PointCloud, init=None) -> DataFrame:
     return cloud.clouds.select("batch_id", F.array(*[F.array(*map(F.lit, r)) for r in m]).alias("m"))
 
 
-def _matched(source: PointCloud, target: DataFrame, transforms: DataFrame, max_distance: float, normals: bool, index: NeighborIndex | None = None) -> DataFrame:
-    """Each moved source point of the entries that have a transform, with its nearest target point
-    within max_distance, if any. An index over the target is searched instead of its points."""
-    own = source.points.select("batch_id", "row_id", *XYZ).join(transforms.select("batch_id"), "batch_id", "left_semi")
+def _matched(source: PointCloud, target: DataFrame, transforms: DataFrame, max_distance: float, normals: bool, index: NeighborIndex | None = None, some: bool = False) -> DataFrame:
+    """Each moved source point with its nearest target point within max_distance, if any; some:
+    of the entries that have a transform only. An index over the target is searched instead of its points."""
+    own = source.points.select("batch_id", "row_id", *XYZ)
+    own = own.join(transforms.select("batch_id"), "batch_id", "left_semi") if some else own
     moved = transform(PointCloud(own, source.clouds), transforms)
     r, q = search.sides(target, moved.points, NORMALS if normals else ())
     if index is not None:
@@ -285,7 +286,7 @@ def _distributed(source: PointCloud, target: PointCloud, rows: DataFrame, init,
     state = search.keep(initial_transforms(source, init).select("batch_id", "m", F.lit(True).alias("active"), F.lit(False).alias("converged"), F.lit(0).alias("iterations"), F.lit(0.0).alias("fitness"), F.lit(0.0).alias("rmse")))
     for turn in range(max_iterations):
         moving = state.where("active").select("batch_id", "m")
-        found = _matched(source, rows, moving, max_distance, normals, index).join(fixed.select("batch_id", *[f"o{c}" for c in XYZ]), "batch_id")
+        found = _matched(source, rows, moving, max_distance, normals, index, some=True).join(fixed.select("batch_id", *[f"o{c}" for c in XYZ]), "batch_id")
         sums = found.groupBy("batch_id").agg(*_sums(rules.method, kernel))
         joined = state.where("active").join(fixed, "batch_id").join(sums, "batch_id", "left")
         state = search.keep(joined.mapInPandas(_turn(rules, turn == 0), _STATE).unionByName(state.where("not active")))
