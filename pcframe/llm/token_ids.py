@@ -20,6 +20,8 @@ TOP = 0x250
 _LETTER, _DIGIT, _OTHER, _SLOW = range(4)
 #: Pieces that are joined to one input of the vocabulary's model.
 _JOIN = 4_000
+#: Words that are cut at once, which takes many times their text.
+_WORDS = 16_000
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,51 +77,69 @@ class TokenIds:
         """One for a worker process: a vocabulary, and no texts' words."""
         return TokenIds(path, plain_specials)
 
+    @staticmethod
+    def _ids(tokenizer, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text. An encoding holds much more a token than its id, so none
+        outlives the call."""
+        return [np.asarray(e.ids, np.uint16) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _pieces(self, pieces: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of distinct pieces: all ids, and where each piece's begin and how many they are."""
-        joined = [" ".join(pieces.slice(i, _JOIN).to_pylist()) for i in range(0, len(pieces), _JOIN)]
-        got = self._model.encode_batch_fast(joined, add_special_tokens=False)
-        flat = np.concatenate([np.asarray(e.ids, np.uint16) for e in got]) if got else np.empty(0, np.uint16)
+        joined = (" ".join(pieces.slice(i, _JOIN).to_pylist()) for i in range(0, len(pieces), _JOIN))
+        got = [x for j in joined for x in self._ids(self._model, [j])]
+        flat = np.concatenate(got) if got else np.empty(0, np.uint16)
         ends = np.flatnonzero(self._ends[flat]) + 1
         if len(ends) != len(pieces):
             raise ValueError("the vocabulary's model does not end each piece with a word end")
         starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
         return flat, starts, ends - starts
 
-    def of_words(self, distinct: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All ids, and where each word's begin and how many they are."""
-        n = len(distinct)
-        lengths = pc.utf8_length(distinct).to_numpy().astype(np.int64)
-        points = np.frombuffer("".join(distinct.to_pylist()).encode("utf-32-le"), "<u4")
+    def _cut(self, some: pa.StringArray) -> tuple[np.ndarray, pa.StringArray, np.ndarray]:
+        """Of words: which are left to the tokenizer, the pieces of the others, and how many each has."""
+        lengths = pc.utf8_length(some).to_numpy().astype(np.int64)
+        points = np.frombuffer("".join(some.to_pylist()).encode("utf-32-le"), "<u4")
         kind = self._kind[np.minimum(points, TOP)]
         kind[:-1][(points[:-1] == ord("<")) & (points[1:] == ord("|"))] = _SLOW
         first = np.cumsum(lengths) - lengths
-        slow = np.maximum.reduceat(kind, first) == _SLOW if n else np.empty(0, bool)
+        slow = np.maximum.reduceat(kind, first) == _SLOW
+        if slow.all():
+            return slow, pa.array([], pa.string()), np.empty(0, np.int64)
+        keep = ~np.repeat(slow, lengths)
+        p, k, begins = points[keep], kind[keep], np.zeros(len(points), bool)
+        begins[first] = True
+        word = begins[keep]
+        cut = word | (k == _DIGIT)
+        cut[1:] |= k[1:] != k[:-1]
+        spelt = np.column_stack([np.where(cut, 32, 0).astype("<u4"), self._one[p], self._two[p]]).reshape(-1)
+        text = spelt[spelt != 0][1:].tobytes().decode("utf-32-le")
+        pieces = pc.split_pattern(pa.array([text], pa.large_string()), " ").flatten().cast(pa.string())
+        return slow, pieces, np.diff(np.flatnonzero(word[cut]), append=len(pieces))
+
+    def of_words(self, distinct: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids, and where each word's begin and how many they are."""
+        n = len(distinct)
         starts, sizes = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        flat, parts = np.empty(0, np.uint16), []
-
-        if n and not slow.all():
-            keep = ~np.repeat(slow, lengths)
-            p, k, begins = points[keep], kind[keep], np.zeros(len(points), bool)
-            begins[first] = True
-            word = begins[keep]
-            cut = word | (k == _DIGIT)
-            cut[1:] |= k[1:] != k[:-1]
-            spelt = np.column_stack([np.where(cut, 32, 0).astype("<u4"), self._one[p], self._two[p]]).reshape(-1)
-            text = spelt[spelt != 0][1:].tobytes().decode("utf-32-le")
-            pieces = pc.split_pattern(pa.array([text], pa.large_string()), " ").flatten().cast(pa.string()).dictionary_encode()
-            ids, at, size = self._pieces(pieces.dictionary)
-            codes = pieces.indices.to_numpy()
-            flat = W.gather(ids, at[codes], size[codes])
-            own = np.add.reduceat(size[codes], np.flatnonzero(word[cut]))
+        parts: list[np.ndarray] = [np.empty(0, np.uint16)]
+        if not n:
+            return parts[0], starts, sizes
+        slow, pieces, counts = zip(*(self._cut(distinct.slice(i, _WORDS)) for i in range(0, n, _WORDS)))
+        slow, counts, total = np.concatenate(slow), np.concatenate(counts), 0
+
+        if len(counts):
+            found = pa.concat_arrays(pieces).dictionary_encode()
+            ids, at, size = self._pieces(found.dictionary)
+            codes = found.indices.to_numpy()
+            parts += [W.gather(ids, at[c], size[c]) for c in (codes[i : i + _WORDS] for i in range(0, len(codes), _WORDS))]
+            own = np.add.reduceat(size[codes], np.cumsum(counts) - counts)
             sizes[~slow] = own
             starts[~slow] = np.cumsum(own) - own
-        parts.append(flat)
+            total = int(own.sum())
         if slow.any():
-            some = [np.asarray(e.ids, np.uint16) for e in self._tokenizer.encode_batch_fast(distinct.filter(pa.array(slow)).to_pylist(), add_special_tokens=False)]
+            odd = distinct.filter(pa.array(slow))
+            some = [x for i in range(0, len(odd), _JOIN) for x in self._ids(self._tokenizer, odd.slice(i, _JOIN).to_pylist())]
             own = np.array([len(x) for x in some], np.int64)
             sizes[slow] = own
-            starts[slow] = len(flat) + np.cumsum(own) - own
+            starts[slow] = total + np.cumsum(own) - own
             parts += some
         return np.concatenate(parts), starts, sizes
 
@@ -128,8 +148,6 @@ class TokenIds:
         for _, lot in W.lots(texts):
             words = W.split(lot)
             flat, starts, sizes = self.of_words(words.distinct)
-            n = sizes[words.codes]
-            every = W.gather(flat, starts[words.codes], n)
-            ends = np.concatenate([[0], np.cumsum(n)])[words.ends]
-            for a, b in zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist()):
-                yield every[a:b]
+            for i in range(len(lot)):
+                codes = words.of(i)
+                yield W.gather(flat, starts[codes], sizes[codes])

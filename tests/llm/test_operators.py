@@ -4,6 +4,7 @@ import hashlib
 import json
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -702,6 +703,23 @@ def test_token_ids_equal_the_tokenizers():
     assert json.load(open(PATH))["model"]["type"] == "BPE"
 
 
+def test_token_ids_of_many_words_take_little_memory():
+    """All of a lot's words at once would take fifteen times its text, beside the executor's heap."""
+    g = random.Random(3)
+    words_of = [f"{''.join(g.choice('abcdefgh') for _ in range(7))}{g.choice(['', '.', ',x', '4', 'é', 'ẞ' * (i % 50 == 0)])}" for i in range(60_000)]
+    texts = [" ".join(words_of[i : i + 600] * 3) for i in range(0, len(words_of), 600)]
+    ids, column = token_ids.TokenIds(PATH), pa.array(texts)
+    tracemalloc.start()
+    try:
+        n = sum(len(x) for x in ids.of(column))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    got = list(ids.of(column))
+    assert n == sum(map(len, got)) and peak < 8 * sum(map(len, texts))
+    assert all(got[i].tolist() == reference_ids(texts[i]) for i in range(0, len(texts), 9))
+
+
 @pytest.mark.parametrize("size", [1, 40, 10**9])
 def test_words_by_the_lot(size):
     texts = [" a  b\tc\n", None, "", "A b\x0bé\x1cd\x85e", "x"]
