@@ -9,12 +9,13 @@ import json
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pcframe.llm.common import as_bytes, attempt_name, cut, fresh_dir, open_fs, small_batches
+from pcframe.llm.common import as_bytes, attempt_name, cut, fresh_dir, open_fs, release, small_batches
 
 #: Payloads shorter than this are never replaced by a revisit.
 LEAST_REVISIT = 100
@@ -24,6 +25,10 @@ BLOCK_LINES = 1_000
 BROADCAST_DIGESTS = 200_000
 #: Bytes of archives that one task reads back.
 READ_BYTES = 64_000_000
+#: Bytes of payloads that a task gives back to Spark at once (a longer one goes alone).
+REPLY_BYTES = 4_000_000
+#: Rows that Spark's Parquet reader holds at once; its own 4,096 pages would be many MB a task.
+READER_ROWS, _SPARKS_ROWS = "256", "4096"
 _DATE = "2024-01-01T00:00:00Z"
 
 
@@ -91,6 +96,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("url_key"), b.column("page_id"), pa.array([name] * len(b)), pa.array(offsets, pa.int64()), pa.array(lengths, pa.int64())], ["url_key", "page_id", "file", "offset", "length"])
         if out:
             out.close()
+        release()
 
     return pages.mapInArrow(run, "url_key string, page_id long, file string, offset long, length long")
 
@@ -130,6 +136,7 @@ def build_index(captures: DataFrame, folder: str) -> DataFrame:
             out.close()
         kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["first", "first_page", "last", "last_page", "file", "offset", "length"])
+        release()
 
     return by.mapInArrow(run, "first string, first_page long, last string, last_page long, file string, offset long, length long")
 
@@ -204,6 +211,7 @@ def lookup(keys: DataFrame, directory: str, folder: str) -> DataFrame:
                         j += 1
                     i += 1
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], k) for i, k in ((1, pa.int64()), (2, pa.string()), (3, pa.int64()), (4, pa.int64()))], ["page_id", "file", "offset", "length"])
+        release()
 
     return by.mapInArrow(run, "page_id long, file string, offset long, length long")
 
@@ -218,9 +226,18 @@ def read_records(places: DataFrame, folder: str) -> DataFrame:
     by = places.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(folder)
+        reader, held = Reader(folder), 0
+        cols: list[list] = [[], [], [], [], [], []]
+
+        def reply() -> pa.RecordBatch:
+            nonlocal cols, held
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
+            rows = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "html"])
+            cols, held = [[], [], [], [], [], []], 0
+            return rows
+
+        # a batch of places is few bytes, the records that it names are as many as they are
         for b in batches:
-            cols: list[list] = [[], [], [], [], [], []]
             for page, file, offset, length in zip(*(c.to_pylist() for c in b.columns)):
                 r = parse(reader.member(file, offset, length))
                 digest = base64.b32decode(r["warc-payload-digest"].removeprefix("sha256:")).hex()
@@ -230,12 +247,27 @@ def read_records(places: DataFrame, folder: str) -> DataFrame:
                 refers = int(r["warc-refers-to"][10:-1]) if kind == "revisit" else None
                 for c, v in zip(cols, (page, int(r["http"]["content-length"]), digest, kind, refers, r["payload"] if kind == "response" else None)):
                     c.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "html"])
+                held += len(r["payload"])
+                if held >= REPLY_BYTES:
+                    yield reply()
+            yield reply()
+        release()
 
     return by.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, html binary")
 
 
+@contextmanager
+def _few_rows(spark: SparkSession) -> Iterator[None]:
+    """Meanwhile Spark's Parquet reader holds READER_ROWS at once, as html is long; a session's own value holds on."""
+    option = "spark.sql.parquet.columnarReaderBatchSize"
+    own = spark.conf.get(option, _SPARKS_ROWS)
+    spark.conf.set(option, READER_ROWS if own == _SPARKS_ROWS else own)
+    try:
+        yield
+    finally:
+        spark.conf.set(option, own)
+
+
 def archive(pages: DataFrame) -> tuple[str, str, str, DataFrame]:
     """Write pages (page_id, url, html) as WARC records and index them.
 
@@ -251,7 +283,8 @@ def archive(pages: DataFrame) -> tuple[str, str, str, DataFrame]:
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("url"), html.alias("html"), F.sha2(html, 256).alias("payload_digest"))
     large = F.octet_length("html") >= LEAST_REVISIT
     first = p.where(large).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("payload_digest").alias("__d"), "first")
-    first = cut(first, "digests")
+    with _few_rows(spark):
+        first = cut(first, "digests")
     if first.count() <= BROADCAST_DIGESTS:
         first = F.broadcast(first)
     # beyond, pages that can't be revisits are dealt by a key of their own; Spark splits large digests
@@ -260,7 +293,8 @@ def archive(pages: DataFrame) -> tuple[str, str, str, DataFrame]:
     refers = F.when(F.col("page_id") > F.col("first"), F.col("first"))
     p = p.select("page_id", "url", "html", "payload_digest", refers.alias("refers_to"), url_key(F.col("url")).alias("url_key"))
     archives, index, directory = fresh_dir(spark, "warc"), fresh_dir(spark, "cdx"), fresh_dir(spark, "directory")
-    captures = cut(write_archives(p, archives), "captures")
+    with _few_rows(spark):
+        captures = cut(write_archives(p, archives), "captures")
     build_index(captures, index).write.parquet(directory)
     return archives, index, directory, captures.select("url_key", "page_id")
 

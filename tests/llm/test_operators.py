@@ -222,6 +222,33 @@ def test_index_blocks_are_searched(spark, monkeypatch):
     assert sorted(r.page_id for r in capture_index.read_records(capture_index.lookup(keys.where("page_id < 5"), directory, index), archives).collect()) == [0, 1, 2, 3, 4]
 
 
+def test_records_come_back_in_bounded_batches(spark, monkeypatch):
+    """Places are few bytes a record; a batch of them must not become one of all their payloads."""
+    pages = spark.range(300).selectExpr("id as page_id", "concat('http://a.org/', id) as url", "repeat(sha2(cast(id as string), 256), 625) as html")
+    archives, index, directory, keys = capture_index.archive(pages)
+    places, runs = capture_index.lookup(keys, directory, index), []
+    with monkeypatch.context() as m:
+        m.setattr(type(pages), "mapInArrow", lambda self, run, schema: runs.append((self, run)))
+        capture_index.read_records(places, archives)
+    by, run = runs[0]
+    found = list(run(iter(by.toArrow().combine_chunks().to_batches())))
+    assert sorted(p for b in found for p in b.column("page_id").to_pylist()) == list(range(300))
+    assert all(sum(map(len, b.column("html").to_pylist())) < 4_000_000 + 40_001 for b in found)
+
+
+@pytest.mark.parametrize("own, meanwhile", [("4096", "256"), ("1000", "1000")])
+def test_pages_are_read_few_at_once(spark, monkeypatch, own, meanwhile):
+    option, seen, cut = "spark.sql.parquet.columnarReaderBatchSize", [], capture_index.cut
+    monkeypatch.setattr(capture_index, "cut", lambda df, what: seen.append(spark.conf.get(option)) or cut(df, what))
+    pages = spark.createDataFrame([(1, "http://a.org/", "<p>")], "page_id long, url string, html string")
+    spark.conf.set(option, own)
+    try:
+        capture_index.archive(pages)
+        assert seen == [meanwhile] * 2 and spark.conf.get(option) == own
+    finally:
+        spark.conf.unset(option)
+
+
 def test_mixing(spark):
     rows = [(i, "w " * (1 + i % 5), "big" if i < 200 else f"s{i % 3}") for i in range(260)] + [(900, None, None), (901, "", None)]
     d = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
