@@ -17,10 +17,11 @@ class NeighborIndex:
     """A reference cloud to search in, as often as wanted.
 
     algorithm: 'blocks' (and 'auto') keys the reference by blocks of bounded size, an entry a
-    block unless it is larger; 'local' takes each entry whole, whatever its size; 'batch' joins
-    whole entries; 'grid' joins cells of the radius, which it needs. The keyed reference of
-    'blocks' is made at the first search and, if an entry had to be cut, kept in the shared folder
-    for the next ones."""
+    block unless it is larger; 'local' takes each entry whole, whatever its size; 'batch' (whole
+    entries) asks for the same answers and is searched in blocks too, as all pairs of an entry grow
+    with the square of its points; 'grid' joins cells of the radius, which it needs. The keyed
+    reference of 'blocks' is made at the first search and, if an entry had to be cut, kept in the
+    shared folder for the next ones."""
 
     def __init__(self, reference, *, algorithm: str = "auto"):
         if algorithm not in ALGORITHMS:
@@ -50,9 +51,6 @@ class NeighborIndex:
         if queries.dtype != self.reference.dtype:
             raise TypeError("queries and reference must have the same dtype, float32 or float64")
         r, q = search.sides(self.reference.points, queries.points, carry)
-        if self.algorithm == "batch":
-            found = search.batch_join(r, q)
-            return search.top_k(found if radius is None else found.where(F.col("d2") <= F.lit(radius * radius)), k)
         if self.algorithm == "grid":
             if radius is None:
                 raise ValueError("algorithm 'grid' needs a finite radius")

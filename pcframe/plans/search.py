@@ -109,6 +109,16 @@ def _squared(q: np.ndarray, r: np.ndarray) -> np.ndarray:
     return d
 
 
+def _first_copies(r: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
+    """Of rows of r at one place, the first k: others can't be among anyone's k nearest."""
+    p = r[rows]
+    order = np.lexsort((rows, p[:, 2], p[:, 1], p[:, 0]))
+    p = p[order]
+    starts = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]).any(1)]))
+    place = np.arange(len(p)) - np.repeat(starts, np.diff(np.append(starts, len(p))))
+    return rows[np.sort(order[place < k])]
+
+
 def nearest(q: np.ndarray, r: np.ndarray, k: int, within: np.ndarray | float = np.inf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, reference, d2) of the k nearest with d2 <= within (one for all, or one a query), in
     order of (query, d2, reference); points that aren't finite never.
@@ -121,6 +131,7 @@ def nearest(q: np.ndarray, r: np.ndarray, k: int, within: np.ndarray | float = n
     fine, used = np.flatnonzero(np.isfinite(r).all(1)), np.flatnonzero(np.isfinite(q).all(1))
     if not len(fine) or not len(used):
         return none
+    fine = _first_copies(r, fine, k)
     leaves = [fine[x] for x in _leaves(r[fine])]
     low, high = (np.array([f(r[x], axis=0) for x in leaves]) for f in (np.min, np.max))
     limit, out = np.broadcast_to(np.asarray(within, float), (len(q),)), []
@@ -296,7 +307,7 @@ def block_knn(dealt: DataFrame, blocks: Blocks, q: DataFrame, k: int, radius: fl
         return search(a, b, a["d2"].to_numpy(float))[0]
 
     by = ["batch_id", "block"]
-    asked = _dealt(q, blocks, "q")
+    asked = _dealt(q.where(F.col("batch_id").isNotNull()), blocks, "q")  # a null is no entry, as in a join
     if not blocks.trees:
         return asked.groupBy(by).cogroup(dealt.groupBy(by)).applyInPandas(whole, ddl)
     once = keep(asked.groupBy(by).cogroup(dealt.groupBy(by)).applyInPandas(first, ddl + ", more boolean, block long"))

@@ -178,3 +178,32 @@ def test_shared_folder_is_asked_for_on_clusters(master):
     context = SimpleNamespace(master=master, getCheckpointDir=lambda: None)
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         search.keep(SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=context)))
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_batch_search_makes_no_pairs_of_entries(spark):
+    """Many ties, and no join of queries with the reference."""
+    g = np.random.default_rng(11)
+    q, r = g.integers(0, 5, (2, 150, 3)).astype(float), g.integers(0, 5, (2, 200, 3)).astype(float)
+    got = knn(dense(spark, r), dense(spark, q), 3, algorithm="batch")
+    assert "Join" not in _plan(got) and "CartesianProduct" not in _plan(got)
+    rows = [(x.query_row, x.ref_row) for x in got.orderBy("query_row", "rank").collect()]
+    assert rows == [(b * 150 + i, b * 200 + j) for b in range(2) for i, j in brute(q[b], r[b], 3, np.inf)]
+    lost = PointCloud.packed(dense(spark, r).points.withColumn("batch_id", F.when(F.col("batch_id") == 0, F.col("batch_id"))))
+    assert {x.batch_id for x in knn(lost, lost, 1, algorithm="batch").collect()} == {0}  # a null is no entry
+
+
+def test_copies_of_a_point_are_compared_k_times_at_most(monkeypatch):
+    p, compared, real = np.repeat([[0.0, 0, 0], [-0.0, 3, 1]], 3_000, axis=0), [0], search._squared
+
+    def counted(a, b):
+        compared[0] += len(a) * len(b)
+        return real(a, b)
+
+    monkeypatch.setattr(search, "_squared", counted)
+    i, j, d = search.nearest(p, p, 2)
+    assert compared[0] < 10 * len(p) and not d.any()
+    assert i.tolist() == np.repeat(np.arange(6_000), 2).tolist() and j.tolist() == [0, 1] * 3_000 + [3_000, 3_001] * 3_000
