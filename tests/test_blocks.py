@@ -207,3 +207,25 @@ def test_copies_of_a_point_are_compared_k_times_at_most(monkeypatch):
     i, j, d = search.nearest(p, p, 2)
     assert compared[0] < 10 * len(p) and not d.any()
     assert i.tolist() == np.repeat(np.arange(6_000), 2).tolist() and j.tolist() == [0, 1] * 3_000 + [3_000, 3_001] * 3_000
+
+
+@pytest.mark.parametrize("method", ["point_to_point", "point_to_plane"])
+def test_distributed_registration_meets_no_pairs_within_the_distance(spark, monkeypatch, method):
+    """All points of an entry within max_distance of one another: nearest points come from blocks."""
+
+    def fail(*_):
+        raise AssertionError("all pairs within the distance")
+
+    monkeypatch.setattr(search, "band_join", fail)
+    g = np.random.default_rng(13)
+    t = dense(spark, g.random((2, 300, 3)) * 0.1)
+    n = g.normal(size=(600, 3))
+    n = spark.createDataFrame([(i, *map(float, v / np.linalg.norm(v))) for i, v in enumerate(n)], "row_id long, nx double, ny double, nz double")
+    s = transform(t, rigid_inverse(pose_to_matrix((0.01, -0.02, 0.01, 0.001, 0.002, -0.001))))
+    more = {"target_normals": n, "method": method} if method == "point_to_plane" else {}
+    near, far = ({x.batch_id: x for x in icp(s, t, 0.5, max_iterations=3, strategy=w, **more).collect()} for w in ("distributed", "local"))
+    assert near.keys() == far.keys() == {0, 1}
+    for b in near:
+        assert np.allclose(near[b].transform, far[b].transform, atol=1e-9) and near[b].fitness == far[b].fitness == 1.0
+    at = evaluate_registration(s, t, 0.5).orderBy("batch_id").collect()
+    assert [x.fitness for x in at] == [1.0, 1.0]
