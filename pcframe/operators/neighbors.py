@@ -18,10 +18,10 @@ class NeighborIndex:
 
     algorithm: 'blocks' (and 'auto') keys the reference by blocks of bounded size, an entry a
     block unless it is larger; 'local' takes each entry whole, whatever its size; 'batch' (whole
-    entries) asks for the same answers and is searched in blocks too, as all pairs of an entry grow
-    with the square of its points; 'grid' joins cells of the radius, which it needs. The keyed
-    reference of 'blocks' is made at the first search and, if an entry had to be cut, kept in the
-    shared folder for the next ones."""
+    entries) and 'grid' (cells of the radius, which it needs) ask for the same answers and are
+    searched in blocks too: all pairs of an entry, or of the cells that a radius reaches, grow with
+    the square of their points. The keyed reference of 'blocks' is made at the first search and, if
+    an entry had to be cut, kept in the shared folder for the next ones."""
 
     def __init__(self, reference, *, algorithm: str = "auto"):
         if algorithm not in ALGORITHMS:
@@ -51,10 +51,8 @@ class NeighborIndex:
         if queries.dtype != self.reference.dtype:
             raise TypeError("queries and reference must have the same dtype, float32 or float64")
         r, q = search.sides(self.reference.points, queries.points, carry)
-        if self.algorithm == "grid":
-            if radius is None:
-                raise ValueError("algorithm 'grid' needs a finite radius")
-            return search.top_k(search.band_join(r, q, radius), k)
+        if self.algorithm == "grid" and radius is None:
+            raise ValueError("algorithm 'grid' needs a finite radius")
         if self.algorithm == "local":
             return search.local_knn(r, q, k, radius)
         dealt, blocks = self.blocks()

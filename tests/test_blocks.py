@@ -229,3 +229,12 @@ def test_distributed_registration_meets_no_pairs_within_the_distance(spark, monk
         assert np.allclose(near[b].transform, far[b].transform, atol=1e-9) and near[b].fitness == far[b].fitness == 1.0
     at = evaluate_registration(s, t, 0.5).orderBy("batch_id").collect()
     assert [x.fitness for x in at] == [1.0, 1.0]
+
+
+def test_grid_search_makes_no_pairs_of_cells(spark):
+    """All points of an entry in a few cells, with ties at the last rank and on the radius."""
+    g = np.random.default_rng(17)
+    q, r = g.integers(0, 4, (1, 120, 3)).astype(float), g.integers(0, 4, (1, 300, 3)).astype(float)
+    got = radius_neighbors(dense(spark, r), dense(spark, q), 2.0, max_neighbors=5, algorithm="grid")
+    assert "Join" not in _plan(got) and "CartesianProduct" not in _plan(got)
+    assert [(x.query_row, x.ref_row) for x in got.orderBy("query_row", "rank").collect()] == brute(q[0], r[0], 5, 4.0)
