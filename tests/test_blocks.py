@@ -238,3 +238,18 @@ def test_grid_search_makes_no_pairs_of_cells(spark):
     got = radius_neighbors(dense(spark, r), dense(spark, q), 2.0, max_neighbors=5, algorithm="grid")
     assert "Join" not in _plan(got) and "CartesianProduct" not in _plan(got)
     assert [(x.query_row, x.ref_row) for x in got.orderBy("query_row", "rank").collect()] == brute(q[0], r[0], 5, 4.0)
+
+
+def test_all_pairs_come_in_tiles(spark, monkeypatch):
+    """One entry's pairs are dealt to as many tasks as tiles, each pair once; the other entry is one tile."""
+    monkeypatch.setattr(search, "TILE", 16, raising=False)
+    g = np.random.default_rng(19)
+    a, b = g.random((1, 100, 3)), g.random((1, 70, 3))
+    r, q = search.sides(dense(spark, b).points.unionByName(line(spark, [[], [1, 2, 3]]).points.withColumn("row_id", F.col("row_id") + 70)), dense(spark, a).points.unionByName(line(spark, [[], [5]]).points.withColumn("row_id", F.col("row_id") + 100)))
+    got = search.batch_join(r, q)
+    assert sorted(got.columns) == sorted({*r.columns, *q.columns, "d2"})
+    rows = got.select("query_row", "ref_row", "d2", F.spark_partition_id().alias("task")).collect()
+    want = {(i, j): float(np.square(a[0, i] - b[0, j]).sum()) for i in range(100) for j in range(70)} | {(100, 70 + j): float((4 - j) ** 2) for j in range(3)}
+    assert len(rows) == len(want) and all(np.isclose(want[x.query_row, x.ref_row], x.d2) for x in rows)
+    pairs = np.bincount([x.task for x in rows])
+    assert np.count_nonzero(pairs) > 10 and pairs.max() < 0.4 * len(rows)
